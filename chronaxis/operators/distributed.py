@@ -287,11 +287,3 @@ def ranked(
             .drop("_r", "_before")
         )
     return out.drop("_x", "_b")
-
-
-def stable_cut(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage through a reliable checkpoint when a checkpoint folder is set."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return df.checkpoint(eager=False)
-    return df

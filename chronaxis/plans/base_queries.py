@@ -8,6 +8,7 @@ from ..operators import distributed as D
 from ..operators import metrics as M
 from ..operators import priors as P
 from ..sources import adapters as A
+from ..sources.shared import written
 from .registry import CATEGORY, FOLDS, LONG, TRACE, q6, query, r6, with_
 
 TRAIN = """train AS (
@@ -26,12 +27,17 @@ oof AS (
 OOF_ALL = with_(TRACE, LONG, FOLDS, TRAIN, REF, OOF)
 
 
-def oof(spark, sf):
+def build_oof(spark, sf):
     tr = A.trace(spark, sf)
     long = A.long_axes(tr, "subject", "video", "t")
     return P.population_oof(long, A.subject_folds(tr))
 
 
+def oof(spark, sf):
+    """Held-out predictions, written once because every metric reads them."""
+    return written(spark, "population_oof", sf, lambda: build_oof(spark, sf))
+
+
 def long_rows(spark, sf):
     return A.long_axes(A.trace(spark, sf), "subject", "video", "t")
 
@@ -104,7 +110,7 @@ SELECT count(*) AS trials, {q6('avg(mae)')} AS macro_mae
 FROM (SELECT subject, video, avg(abs(prior - value)) AS mae FROM oof GROUP BY 1, 2)""")
 def population_prior_mae(spark, sf):
     """How well the other participants' median predicts each held-out participant."""
-    return M.macro_mae(oof(spark, sf)).select("trials", r6("macro_mae"))
+    return M.macro_mae(build_oof(spark, sf)).select("trials", r6("macro_mae"))
 
 
 @query("mt2_metric_levels", OOF_ALL + f"""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import distributed as D
+from .shared import written
 from .tables import read
 
 LABEL_MIN, LABEL_MAX = 1.0, 255.0
@@ -17,7 +18,14 @@ def clip_label(x: Column) -> Column:
 
 
 def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(subject, video, t, valence, arousal): one row per labelled second."""
+    """(subject, video, t, valence, arousal): one row per labelled second.
+
+    Nearly every job starts here, so the placed table is written once.
+    """
+    return written(spark, "trace", sf_dir, lambda: build_trace(spark, sf_dir))
+
+
+def build_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").select(
         F.col("user_id").alias("subject"),
         F.col("event_type").alias("video"),
@@ -57,6 +65,10 @@ def category(video: str | Column = "video") -> Column:
 
 def rating_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balanced subject x item matrix: (subject, item, x)."""
+    return written(spark, "matrix", sf_dir, lambda: build_matrix(spark, sf_dir))
+
+
+def build_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         read(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_suppkey").alias("subject"), F.year("l_shipdate").alias("item"))
