@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import distributed as D
 from ..operators import priors as P
 from ..operators import windows as Wn
 from ..sources import adapters as A
+from ..sources.shared import written
 from .registry import CONTENT, LONG, TRACE, q6, query, r6, with_
 
 T = with_(TRACE)
@@ -72,6 +72,10 @@ peaks AS (SELECT video, t FROM strict UNION ALL SELECT video, t FROM fallback WH
 
 
 def template(spark, sf):
+    return written(spark, "template", sf, lambda: build_template(spark, sf))
+
+
+def build_template(spark, sf):
     """Per item: median curve, gradient strength, progress and magnitude."""
     m = D.medians(tr(spark, sf), ["video", "t"], {"valence": F.col("valence"), "arousal": F.col("arousal")}).drop("n")
     g = Wn.add_gradient(m, ["video"], {"valence": "gv", "arousal": "ga"})
@@ -278,16 +282,16 @@ def matched_controls(tpl):
     targets = feats.join(pk, ["video", "t"]).withColumnRenamed("t", "peak")
     cand = controls.select("video", F.col("t").alias("control"), F.col("a").alias("ca"), F.col("b").alias("cb"), F.col("c").alias("cc"))
     dist = F.round((F.col("ca") - F.col("a")) ** 2 + (F.col("cb") - F.col("b")) ** 2 + (F.col("cc") - F.col("c")) ** 2, 9)
-    # nearest control in time on either side gives a finite bound
-    order = Window.partitionBy("video", "_c").orderBy("t")
-    marks = feats.join(controls.select("video", "t", F.lit(1).alias("is_c")), ["video", "t"], "left").withColumn("_c", F.lit(0))
-    prev = F.last(F.when(F.col("is_c") == 1, F.struct("t", "a", "b", "c")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    nxt = F.first(F.when(F.col("is_c") == 1, F.struct("t", "a", "b", "c")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    seen = marks.withColumn("near", F.coalesce(prev, nxt)).select("video", F.col("t").alias("peak"), "near")
-    bound = targets.join(seen, ["video", "peak"]).withColumn(
-        "limit", F.sqrt((F.col("near.a") - F.col("a")) ** 2 + (F.col("near.b") - F.col("b")) ** 2 + (F.col("near.c") - F.col("c")) ** 2))
-    step = (F.col("limit") * F.col("sp") * F.greatest(F.col("len") - 1, F.lit(1)) + 1).cast("long")
+    # the last control before the peak (or the item's first one) gives a finite bound
+    marks = feats.join(controls.select("video", "t", F.lit(True).alias("is_c")), ["video", "t"], "left")
+    seen = D.running(marks, ["video"], "t", F.when(F.col("is_c"), F.col("t")), "prev", "max")
+    first = controls.groupBy("video").agg(F.min("t").alias("first"))
+    near = seen.select("video", F.col("t").alias("peak"), "prev").join(first, "video").select(
+        "video", "peak", F.coalesce("prev", "first").alias("control"))
+    bound = targets.join(near, ["video", "peak"]).join(cand, ["video", "control"]).withColumn(
+        "limit", F.sqrt(dist)).drop("control", "ca", "cb", "cc")
+    step = (F.col("limit") * F.col("sp") * F.greatest(F.col("len") - 1, F.lit(1)) + 2).cast("long")
     lo, hi = F.greatest(F.lit(5).cast("long"), F.col("peak") - step), F.least(F.col("len") - 6, F.col("peak") + step)
-    asked = bound.withColumn("control", F.explode(F.sequence(lo, hi))).drop("near", "limit")
+    asked = bound.withColumn("control", F.explode(F.sequence(lo, hi))).drop("limit")
     return asked.join(cand, ["video", "control"]).groupBy("video", "peak").agg(
         F.min_by("control", F.struct(dist, F.col("control"))).alias("control"))
