@@ -159,9 +159,9 @@ def order_statistics(
     Only the bins that hold a wanted rank are opened, so a key is never
     gathered whole: a task sees one bin of distinct values.
     """
-    counted = df.groupBy(*keys, value.cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    counted = df.groupBy(*keys, value.cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_cnt"))
     counted = counted.filter(F.col("_x").isNotNull()).withColumn("_b", F.floor(F.col("_x") / F.lit(width)))
-    bins = counted.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"))
+    bins = counted.groupBy(*keys, "_b").agg(F.sum("_cnt").alias("_bn"))
     bins = prefix_offsets(bins, keys, "_b", "_bn", "_before")
     bins = bins.withColumn(total, F.sum("_bn").over(Window.partitionBy(*keys)))
     n = F.col(total)
@@ -174,12 +174,12 @@ def order_statistics(
     open_bins = bins.filter(wanted).drop("_bn")
     inside = Window.partitionBy(*keys, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
     opened = counted.join(open_bins, [*keys, "_b"]).withColumn(
-        "_from", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+        "_from", F.col("_before") + F.coalesce(F.sum("_cnt").over(inside), F.lit(0))
     )
     picks = [F.max(total).alias(total)]
     for name in ranks:
         k = F.col(f"_k_{name}")
-        hit = (F.col("_from") <= k) & (F.col("_from") + F.col("_n") > k)
+        hit = (F.col("_from") <= k) & (F.col("_from") + F.col("_cnt") > k)
         picks.append(F.max(F.when(hit, F.col("_x"))).alias(name))
     if keys:
         return opened.groupBy(*keys).agg(*picks)

@@ -35,18 +35,20 @@ def query(name: str, sql: str | None = None):
 
 
 def r6(c: Column | str, name: str | None = None) -> Column:
-    """Six decimals, so that summation order does not show."""
+    """Six decimals, so that summation order does not show.
+
+    The tiny offset moves exact half-way decimals off the rounding edge.
+    """
     col = F.col(c) if isinstance(c, str) else c
-    out = F.round(col.cast("double"), 6)
-    # avoid negative zero
-    out = F.when(out == 0, F.lit(0.0)).otherwise(out)
+    out = F.round(col.cast("double") + 3e-9, 6)
+    out = out + F.lit(0.0)  # no negative zero
     label = name or (c if isinstance(c, str) else None)
     return out.alias(label) if label else out
 
 
 def q6(expr: str) -> str:
     """The SQL twin of :func:`r6`."""
-    return f"(CASE WHEN round(CAST({expr} AS DOUBLE),6)=0 THEN CAST(0 AS DOUBLE) ELSE round(CAST({expr} AS DOUBLE),6) END)"
+    return f"(round(CAST({expr} AS DOUBLE) + 3e-9, 6) + 0.0)"
 
 
 TRACE = """trace AS (
