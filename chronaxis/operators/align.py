@@ -162,10 +162,15 @@ def series(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFr
     return got.select(*keys, *[F.col(f"_s.{c}").alias(c) for c in columns])
 
 
+def align_series(trial: DataFrame, keys: Sequence[str], s: WarpSettings) -> DataFrame:
+    """Mappings of prepared signal series; settings that share signals share the series."""
+    return trial.withColumn("_r", mapping_udf(s)(F.col("p"), F.col("m"))).select(*keys, "_r.*")
+
+
 def align(rows: DataFrame, keys: Sequence[str], s: WarpSettings, target: str = "value", reference: str = "prior") -> DataFrame:
     """(keys.., w, costs): one mapping per key from its rows (t, target, reference)."""
     trial = series(signals(rows, keys, s, target, reference), keys, ["p", "m"])
-    return trial.withColumn("_r", mapping_udf(s)(F.col("p"), F.col("m"))).select(*keys, "_r.*")
+    return align_series(trial, keys, s)
 
 
 def align_joint(rows: DataFrame, keys: Sequence[str], s: WarpSettings) -> DataFrame:

@@ -26,11 +26,22 @@ def held_out_rows(spark, sf):
     return oof(spark, sf).select(*K3, "t", "fold", "value", "prior")
 
 
+def signal_series(spark, sf, s=DEFAULT):
+    """Ordered alignment signals of every trial; settings with equal smoothing share them."""
+    name = f"series_r{s.radius}_{'d' if s.derivative else 'l'}"
+    return written(spark, name, sf, lambda: Al.series(Al.signals(held_out_rows(spark, sf), K3, s), K3, ["p", "m"]))
+
+
 def mappings(spark, sf):
     """Axis mappings of every trial to its held-out reference, per second."""
-    def build():
-        return Al.align(held_out_rows(spark, sf), K3, DEFAULT)
-    return written(spark, "axis_mappings", sf, build)
+    return written(spark, "axis_mappings", sf, lambda: Al.align_series(signal_series(spark, sf), K3, DEFAULT))
+
+
+def by_objective(spark, sf):
+    from functools import reduce
+    return reduce(lambda a, b: a.unionByName(b), [
+        Al.align_series(signal_series(spark, sf), K3, Al.WarpSettings(objective=o)).withColumn("objective", F.lit(o))
+        for o in ("direct_step", "step_zero", "path_mean")])
 
 
 def timed(spark, sf):
@@ -55,10 +66,7 @@ def _(spark, sf):
 
 @query("ts7_alignment_objectives")
 def _(spark, sf):
-    from functools import reduce
-    rows = held_out_rows(spark, sf)
-    parts = [Al.align(rows, K3, Al.WarpSettings(objective=o)).withColumn("objective", F.lit(o)) for o in ("direct_step", "step_zero", "path_mean")]
-    return reduce(lambda a, b: a.unionByName(b), parts).select(
+    return by_objective(spark, sf).select(
         "objective", *K3, r6("local_cost"), r6("warp_cost"), F.col("steps").cast("long").alias("steps"), F.col("path_length").cast("long").alias("path_length"),
         r6((F.col("local_cost") + F.col("warp_cost") + F.when(F.col("objective") == "step_zero", 0.0).otherwise(0.05) * F.col("steps")) / F.col("path_length"), "cost_per_node"))
 
@@ -194,10 +202,9 @@ def _(spark, sf):
         "warp_low": Al.WarpSettings(warp_penalty=0.05), "warp_high": Al.WarpSettings(warp_penalty=0.30),
         "step_low": Al.WarpSettings(step_penalty=0.0), "step_high": Al.WarpSettings(step_penalty=0.15),
         "radius_0": Al.WarpSettings(radius=0), "level": Al.WarpSettings(derivative=False)}
-    rows = held_out_rows(spark, sf)
     parts = []
     for name, s in settings.items():
-        m = Al.unroll(Al.align(rows, K3, s), K3).groupBy(*K2).agg(F.avg(F.abs(F.col("t") - F.col("w"))).alias("q"))
+        m = Al.unroll(Al.align_series(signal_series(spark, sf, s), K3, s), K3).groupBy(*K2).agg(F.avg(F.abs(F.col("t") - F.col("w"))).alias("q"))
         parts.append(m.withColumn("setting", F.lit(name)))
     stack = reduce(lambda a, b: a.unionByName(b), parts)
     base = parts[0].select(*K2, F.col("q").alias("q0"))
@@ -283,10 +290,7 @@ def _(spark, sf):
 
 @query("cq18_objective_audit")
 def _(spark, sf):
-    from functools import reduce
-    rows = held_out_rows(spark, sf)
-    parts = [Al.align(rows, K3, Al.WarpSettings(objective=o)).withColumn("objective", F.lit(o)) for o in ("direct_step", "step_zero", "path_mean")]
-    s = reduce(lambda a, b: a.unionByName(b), parts).withColumn("q", F.aggregate(
+    s = by_objective(spark, sf).withColumn("q", F.aggregate(
         F.transform("w", lambda x, i: F.abs(x - i).cast("double")), F.lit(0.0), lambda a, b: a + b) / F.size("w"))
     return s.groupBy("objective").agg(F.count(F.lit(1)).alias("mappings"), r6(F.avg("q"), "mean_q"), r6(F.avg("steps"), "mean_steps"), r6(F.avg("path_length"), "mean_path"),
                                       r6(F.avg(F.col("local_cost") / F.col("path_length")), "local_per_node"))
