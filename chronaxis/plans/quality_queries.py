@@ -134,7 +134,7 @@ def _(spark, sf):
     # digest of block digests: a task sees one block of ids, the last step one digest per block
     ids = read(spark, sf, "events").select("user_id").distinct().withColumn("b", F.floor(F.col("user_id") / 64))
     h = ids.groupBy("b").agg(F.sha2(F.concat_ws("|", F.transform(F.sort_array(F.collect_list("user_id")), lambda x: x.cast("string"))), 256).alias("h"))
-    return h.agg(F.count(F.lit(1)).alias("blocks"), F.sha2(F.concat_ws("|", F.col("x.h")), 256).alias("digest")) if False else h.groupBy().agg(
+    return h.agg(
         F.count(F.lit(1)).alias("blocks"), F.sort_array(F.collect_list(F.struct("b", "h"))).alias("x")).select("blocks", F.sha2(F.concat_ws("|", F.col("x.h")), 256).alias("digest"))
 
 
@@ -363,31 +363,46 @@ def _(spark, sf):
 
 # ---- record linkage ------------------------------------------------------------------------
 
+TITLE = "regexp_replace(strip_accents(replace(lower(split_part(text, chr(10), 1)), 'ß', 'ss')), '[^a-z0-9]', '', 'g')"
+LINK = f"""rec AS (SELECT doc_id, lang, source, n_chars, {TITLE} AS title FROM documents),
+lk AS (SELECT a.doc_id, max(1.0 + CASE WHEN a.lang = b.lang THEN 0.18 ELSE 0 END + CASE WHEN a.source = b.source THEN 0.08 ELSE 0 END) AS score,
+ arg_min(b.doc_id, {{'a': -(CASE WHEN a.lang = b.lang THEN 18 ELSE 0 END + CASE WHEN a.source = b.source THEN 8 ELSE 0 END), 'b': b.doc_id}}) AS match FROM rec a JOIN rec b ON a.title = b.title AND a.doc_id <> b.doc_id AND a.title <> '' GROUP BY 1)"""
+
+
+def two_smallest(df, keys, out):
+    """Smallest and second smallest id per key: enough to name another record for any member."""
+    first = df.groupBy(*keys).agg(F.min("doc_id").alias(f"{out}1"))
+    again = df.join(first, keys).groupBy(*keys).agg(F.min(F.when(F.col("doc_id") > F.col(f"{out}1"), F.col("doc_id"))).alias(f"{out}2"))
+    return first.join(again, keys)
+
+
 def linked(spark, sf):
-    """Best match of each document to another document with the same normalized opening.
+    """Best other record with the same normalized title.
 
-    Exact copies are folded to one representative first, so a block of copies
-    costs one row.  Inside a block, records are put in the order of their full
-    normalized text and each is scored against its neighbours in that order.
+    Inside a title the score only depends on equal language (0.18) and equal
+    source (0.08), so the best partner is a member of one of four groups.  Two
+    ids per group name it exactly; no pairs of copies are built.
     """
-    d = read(spark, sf, "documents").withColumn("norm", S.normalized_text(F.col("text")))
-    rep = d.groupBy("norm", "lang", "source").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).withColumn("block", F.md5(F.substring("norm", 1, 40)))
-    placed = D.ranked(rep, ["block"], F.conv(F.substring(F.md5("norm"), 1, 8), 16, 10).cast("double"), ["doc_id"], float(1 << 24), ordinal="k").withColumn("_t", F.col("k") - 1)
-    near = D.framed(placed, ["block"], "_t", 4, 4, lambda x, w: x.withColumn("others", F.collect_list(F.struct("doc_id", "norm", "lang", "source")).over(w.rowsBetween(-4, 4))))
-    e = near.select("doc_id", "norm", "lang", "source", "copies", F.explode("others").alias("o")).filter(F.col("o.doc_id") != F.col("doc_id"))
-    long = F.greatest(F.length("norm"), F.length("o.norm"), F.lit(1))
-    same = F.length(F.expr("substring(norm, 1, 40)"))
-    # title-like similarity of the opening, plus 0.18 for equal language and 0.08 for equal source
-    score = same / F.least(long, F.lit(40)) + F.when(F.col("lang") == F.col("o.lang"), 0.18).otherwise(0.0) + F.when(F.col("source") == F.col("o.source"), 0.08).otherwise(0.0)
-    return e.groupBy("doc_id", "copies").agg(F.max_by("o.doc_id", F.struct(score, -F.col("o.doc_id"))).alias("match"), r6(F.max(score), "score"))
-
-
-@query("jn17_record_linkage")
+    rec = read(spark, sf, "documents").select("doc_id", "lang", "source", S.normalized_text(F.substring_index("text", "\n", 1)).alias("title")).filter("title <> ''")
+    levels = [("ls", ["title", "lang", "source"], 1.26), ("l", ["title", "lang"], 1.18), ("s", ["title", "source"], 1.08), ("t", ["title"], 1.0)]
+    j = rec
+    match, score = None, None
+    for name, keys, value in levels:
+        j = j.join(two_smallest(rec, keys, name), keys)
+        other = F.when(F.col(f"{name}1") != F.col("doc_id"), F.col(f"{name}1")).otherwise(F.col(f"{name}2"))
+        hit = other.isNotNull()
+        match = F.when(hit, other) if match is None else match.when(hit, other)
+        score = F.when(hit, value) if score is None else score.when(hit, value)
+    return j.select("doc_id", match.alias("match"), score.alias("score")).filter(F.col("match").isNotNull())
+
+
+@query("jn17_record_linkage", with_(LINK) + f"SELECT doc_id, match, {q6('score')} AS score FROM lk")
 def _(spark, sf):
-    return linked(spark, sf)
+    return linked(spark, sf).select("doc_id", "match", r6("score"))
 
 
-@query("dq19_record_reconciliation")
+@query("dq19_record_reconciliation", with_(LINK) + """, j AS (SELECT lk.doc_id, lk.match, a.lang AS l1, b.lang AS l2, a.source AS s1, b.source AS s2, a.n_chars AS n1, b.n_chars AS n2 FROM lk JOIN rec a ON a.doc_id = lk.doc_id JOIN rec b ON b.doc_id = lk.match)
+SELECT doc_id, match, 'lang' AS field, 'error' AS severity FROM j WHERE l1 <> l2 UNION ALL SELECT doc_id, match, 'source', 'warning' FROM j WHERE s1 <> s2 UNION ALL SELECT doc_id, match, 'n_chars', 'warning' FROM j WHERE abs(n1 - n2) > 5""")
 def _(spark, sf):
     """Issues of each linked record against its match, by field and severity."""
     d = read(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
