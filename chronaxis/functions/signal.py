@@ -12,6 +12,11 @@ EPS = 1e-8
 BANDS = [("delta", 1.0, 4.0), ("theta", 4.0, 8.0), ("alpha", 8.0, 13.0), ("beta1", 13.0, 20.0), ("beta2", 20.0, 30.0), ("gamma", 30.0, 45.0)]
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it by name in ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
@@ -21,32 +26,33 @@ def mean(a: Column) -> Column:
 
 
 def variance(a: Column) -> Column:
-    m = mean(a)
-    return mean(F.transform(a, lambda x: (x - m) * (x - m)))
+    return let(a, lambda v: let(mean(v), lambda m: mean(F.transform(v, lambda x: (x - m) * (x - m)))))
 
 
 def diff(a: Column) -> Column:
-    n = F.size(a)
-    return F.zip_with(F.slice(a, F.lit(2), n - 1), F.slice(a, F.lit(1), n - 1), lambda hi, lo: hi - lo)
+    return let(a, lambda v: F.zip_with(F.slice(v, F.lit(2), F.size(v) - 1), F.slice(v, F.lit(1), F.size(v) - 1), lambda hi, lo: hi - lo))
 
 
 def moment(a: Column, k: int) -> Column:
-    m = mean(a)
-    return mean(F.transform(a, lambda x: F.pow(x - m, F.lit(k))))
+    return let(a, lambda v: let(mean(v), lambda m: mean(F.transform(v, lambda x: F.pow(x - m, F.lit(k))))))
 
 
 def slope(a: Column) -> Column:
     """Least-squares slope per sample."""
-    mid = (F.size(a) - 1) / 2.0
-    top = total(F.transform(a, lambda x, i: x * (i - mid)))
-    return top / F.greatest(total(F.transform(a, lambda x, i: (i - mid) * (i - mid))), F.lit(EPS))
+    def over(v):
+        mid = (F.size(v) - 1) / 2.0
+        top = total(F.transform(v, lambda x, i: x * (i - mid)))
+        return top / F.greatest(total(F.transform(v, lambda x, i: (i - mid) * (i - mid))), F.lit(EPS))
+    return let(a, over)
 
 
 def hjorth(a: Column) -> tuple[Column, Column, Column]:
-    d1 = diff(a)
-    v0, v1, v2 = variance(a), variance(d1), variance(diff(d1))
-    mobility = F.sqrt(v1 / F.greatest(v0, F.lit(EPS)))
-    return v0, mobility, F.sqrt(v2 / F.greatest(v1, F.lit(EPS))) / F.greatest(mobility, F.lit(EPS))
+    """Activity, mobility and complexity; the three variances are bound once."""
+    s = let(diff(a), lambda d: F.struct(variance(a).alias("v0"), variance(d).alias("v1"), variance(diff(d)).alias("v2")))
+    eps = F.lit(EPS)
+    done = let(s, lambda v: let(F.sqrt(v["v1"] / F.greatest(v["v0"], eps)), lambda m: F.struct(
+        v["v0"].alias("a"), m.alias("m"), (F.sqrt(v["v2"] / F.greatest(v["v1"], eps)) / F.greatest(m, eps)).alias("c"))))
+    return done["a"], done["m"], done["c"]
 
 
 def spectrum(a: Column, n: int, k: int, hann: bool) -> Column:
@@ -54,11 +60,10 @@ def spectrum(a: Column, n: int, k: int, hann: bool) -> Column:
     w = [0.5 - 0.5 * math.cos(2 * math.pi * i / (n - 1)) if hann else 1.0 for i in range(n)]
     cos = F.array(*[F.lit(w[i] * math.cos(2 * math.pi * k * i / n)) for i in range(n)])
     sin = F.array(*[F.lit(w[i] * math.sin(2 * math.pi * k * i / n)) for i in range(n)])
-    m = mean(a)
-    centred = F.transform(a, lambda x: x - m)
-    re = total(F.zip_with(centred, cos, lambda x, c: x * c))
-    im = total(F.zip_with(centred, sin, lambda x, c: x * c))
-    return re * re + im * im
+    def power(v):
+        return let(mean(v), lambda m: let(total(F.zip_with(v, cos, lambda x, c: (x - m) * c)), lambda re: let(
+            total(F.zip_with(v, sin, lambda x, c: (x - m) * c)), lambda im: re * re + im * im)))
+    return let(a, power)
 
 
 def band_features(a: Column, n: int, rate: float) -> list[tuple[str, Column, Column]]:
