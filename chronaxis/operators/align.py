@@ -1,9 +1,14 @@
 """Banded alignment of trials to references.
 
 Everything around the dynamic programme is Column code: smoothing, gradient and
-robust scaling before, lags and metrics after.  The programme itself runs in a
-vectorized Pandas UDF that steps over the band once for a whole Arrow batch of
+robust scaling before, lags and metrics after.  The programme itself runs in
+vectorized Pandas UDFs that step over the band once for a whole Arrow batch of
 trials of equal length, never trial by trial.
+
+A trial longer than ``LONG`` seconds is never gathered.  Its chunks are solved
+as small transfer matrices (cost from every entry offset to every exit offset),
+the matrices are combined, and each chunk is then decoded from its own entry
+costs and exit offset.  The band keeps such a summary at (2*band+1)^2 numbers.
 """
 
 from __future__ import annotations
@@ -16,9 +21,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import distributed as D
 from . import priors as P
 from . import windows as Wn
 
+LONG = 65536
 RESULT = "struct<w:array<int>,local_cost:double,warp_cost:double,steps:int,path_length:int>"
 
 
@@ -32,22 +39,28 @@ class WarpSettings:
     objective: str = "direct_step"
 
 
-def _solve(p: np.ndarray, m: np.ndarray, s: WarpSettings, step: float, offset: np.ndarray):
-    """Align a block of trials [trial, n, axes]; ties prefer diagonal, then down, then right."""
-    count, n, _axes = p.shape
-    band = max(s.band, 1)
-    reach = s.band
+def forward(p, m, s: WarpSettings, step: float, offset, i0: int = 0, j0: int = 0, n: int | None = None, entry=None):
+    """Fill the band for rows i0.. of a block [trial, rows, axes].
+
+    ``m`` starts at reference second j0; ``entry`` holds the costs of the row
+    before i0 by offset.  Ties prefer diagonal, then down, then right.  Returns
+    the costs of the last row and the back pointers.
+    """
+    count, rows = p.shape[0], p.shape[1]
+    n = p.shape[1] if n is None else n
+    band, reach = max(s.band, 1), s.band
     width = 2 * reach + 1
     inf = np.full(count, np.inf)
-    before = [inf] * width
-    back = np.zeros((n, width, count), dtype=np.int8)
-    for i in range(n):
+    before = [inf] * width if entry is None else entry
+    back = np.zeros((rows, width, count), dtype=np.int8)
+    for r in range(rows):
+        i = i0 + r
         now = [inf] * width
         for o in range(width):
             j = i + o - reach
             if j < 0 or j >= n:
                 continue
-            local = np.abs(p[:, i] - m[:, j]).mean(axis=1) + s.warp_penalty * abs(i - j) / band - offset
+            local = np.abs(p[:, r] - m[:, j - j0]).mean(axis=1) + s.warp_penalty * abs(i - j) / band - offset
             if i == 0 and j == 0:
                 now[o] = local
                 continue
@@ -60,34 +73,53 @@ def _solve(p: np.ndarray, m: np.ndarray, s: WarpSettings, step: float, offset: n
             better = right < best
             best, way = np.where(better, right, best), np.where(better, 2, way)
             now[o] = local + best
-            back[i, o] = way
+            back[r, o] = way
         before = now
-    # walk all trials back together; a row of the path covers a run of seconds
-    rows = np.arange(count)
-    i = np.full(count, n - 1)
-    j = np.full(count, n - 1)
-    low = np.full((count, n), n, dtype=np.int64)
-    high = np.full((count, n), -1, dtype=np.int64)
-    local_cost = np.zeros(count)
-    warp_cost = np.zeros(count)
-    steps = np.zeros(count, dtype=np.int64)
-    length = np.zeros(count, dtype=np.int64)
+    return before, back
+
+
+def backward(p, m, s: WarpSettings, back, exits, i0: int = 0, j0: int = 0):
+    """Walk all trials of a block back from their exit offsets.
+
+    Returns first and last matched second per row, the cost audit and the entry
+    offset (offset in the row before i0; -1 where the path starts here).
+    """
+    count, rows = p.shape[0], p.shape[1]
+    band, reach = max(s.band, 1), s.band
+    i = np.full(count, rows - 1)
+    j = np.asarray(exits) + i + i0 - reach
+    low = np.full((count, rows), np.iinfo(np.int64).max, dtype=np.int64)
+    high = np.full((count, rows), -1, dtype=np.int64)
+    local_cost, warp_cost = np.zeros(count), np.zeros(count)
+    steps, length = np.zeros(count, dtype=np.int64), np.zeros(count, dtype=np.int64)
+    entry = np.full(count, -1, dtype=np.int64)
     alive = np.ones(count, dtype=bool)
     while alive.any():
-        a = rows[alive]
+        a = np.flatnonzero(alive)
         ia, ja = i[a], j[a]
         low[a, ia] = np.minimum(low[a, ia], ja)
         high[a, ia] = np.maximum(high[a, ia], ja)
-        local_cost[a] += np.abs(p[a, ia] - m[a, ja]).mean(axis=1)
-        warp_cost[a] += s.warp_penalty * np.abs(ia - ja) / band
+        local_cost[a] += np.abs(p[a, ia] - m[a, ja - j0]).mean(axis=1)
+        warp_cost[a] += s.warp_penalty * np.abs(ia + i0 - ja) / band
         length[a] += 1
-        done = (ia == 0) & (ja == 0)
+        done = (ia + i0 == 0) & (ja == 0)
+        alive[a[done]] = False
         go = a[~done]
-        way = back[i[go], j[go] - i[go] + reach, go]
+        way = back[i[go], j[go] - i[go] - i0 + reach, go]
         steps[go] += way != 0
-        i[go] -= way != 2
         j[go] -= way != 1
-        alive[a[done]] = False
+        i[go] -= way != 2
+        left = go[i[go] < 0]
+        entry[left] = j[left] - (i0 - 1) + reach
+        alive[left] = False
+    return low, high, local_cost, warp_cost, steps, length, entry
+
+
+def _solve(p: np.ndarray, m: np.ndarray, s: WarpSettings, step: float, offset: np.ndarray):
+    """Align a block of whole trials [trial, n, axes]."""
+    n = p.shape[1]
+    _last, back = forward(p, m, s, step, offset)
+    low, high, local_cost, warp_cost, steps, length, _e = backward(p, m, s, back, np.full(p.shape[0], s.band))
     mapping = np.floor((low + high) / 2.0 + 0.5).astype(np.int64)
     mapping = np.maximum.accumulate(np.clip(mapping, 0, n - 1), axis=1)
     return mapping, local_cost, warp_cost, steps, length
@@ -119,20 +151,25 @@ def align_block(p: np.ndarray, m: np.ndarray, s: WarpSettings):
     return tuple(result)
 
 
-def mapping_udf(settings: WarpSettings, axes: int = 1):
-    """(participant array, reference array) -> mapping and cost audit, batch by batch."""
+def step_of(s: WarpSettings) -> float:
+    return 0.0 if s.objective == "step_zero" else s.step_penalty
+
+
+def _stack(series: pd.Series, at) -> np.ndarray:
+    return np.stack([np.stack(series.iloc[k]).astype(np.float64) for k in at])
+
+
+def mapping_udf(settings: WarpSettings):
+    """(participant, reference) arrays of per-second vectors -> mapping and cost audit."""
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for p, m in batches:
-            n_rows = len(p)
-            sizes = p.map(len).to_numpy() // axes
-            w: list = [None] * n_rows
-            cols = np.zeros((n_rows, 4))
+            sizes = p.map(len).to_numpy()
+            w: list = [None] * len(p)
+            cols = np.zeros((len(p), 4))
             for n in np.unique(sizes):
                 at = np.flatnonzero(sizes == n)
-                a = np.stack([np.asarray(p.iloc[k], dtype=np.float64) for k in at]).reshape(len(at), axes, n).transpose(0, 2, 1)
-                b = np.stack([np.asarray(m.iloc[k], dtype=np.float64) for k in at]).reshape(len(at), axes, n).transpose(0, 2, 1)
-                got = align_block(a, b, settings)
+                got = align_block(_stack(p, at), _stack(m, at), settings)
                 for slot, k in enumerate(at):
                     w[k] = got[0][slot].astype(np.int32)
                 cols[at] = np.stack(got[1:], axis=1)
@@ -143,7 +180,7 @@ def mapping_udf(settings: WarpSettings, axes: int = 1):
 
 
 def signals(rows: DataFrame, keys: Sequence[str], s: WarpSettings, target: str = "value", reference: str = "prior") -> DataFrame:
-    """Alignment signals of both curves: smoothed, differentiated, robustly scaled."""
+    """(keys.., t, p, m): smoothed, differentiated, robustly scaled; one-element ARRAYs."""
     both = rows.select(*keys, "t", F.explode(F.array(
         F.struct(F.lit("p").alias("role"), F.col(target).cast("double").alias("x")),
         F.struct(F.lit("m").alias("role"), F.col(reference).cast("double").alias("x")))).alias("_s")).select(*keys, "t", "_s.role", "_s.x")
@@ -152,40 +189,131 @@ def signals(rows: DataFrame, keys: Sequence[str], s: WarpSettings, target: str =
     if s.derivative:
         x = Wn.add_gradient(x, k, {"x": "x"})
     z = Wn.robust_z(x, k, "x", "z")
-    return z.groupBy(*keys, "t").agg(F.max(F.when(F.col("role") == "p", F.col("z"))).alias("p"),
-                                     F.max(F.when(F.col("role") == "m", F.col("z"))).alias("m"))
+    return z.groupBy(*keys, "t").agg(F.array(F.max(F.when(F.col("role") == "p", F.col("z")))).alias("p"),
+                                     F.array(F.max(F.when(F.col("role") == "m", F.col("z")))).alias("m"))
 
 
-def series(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """One row per trial with its ordered signals; trials are independent rows of a batch."""
-    got = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("t", *columns))).alias("_s"))
-    return got.select(*keys, *[F.col(f"_s.{c}").alias(c) for c in columns])
+def join_axes(sig: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Signals of both axes side by side, for one mapping from both together."""
+    at = lambda c, a: F.max(F.when(F.col("axis") == a, F.col(c)[0]))
+    return sig.groupBy(*keys, "t").agg(F.array(at("p", 0), at("p", 1)).alias("p"), F.array(at("m", 0), at("m", 1)).alias("m"))
 
 
-def align_series(trial: DataFrame, keys: Sequence[str], s: WarpSettings) -> DataFrame:
-    """Mappings of prepared signal series; settings that share signals share the series."""
-    return trial.withColumn("_r", mapping_udf(s)(F.col("p"), F.col("m"))).select(*keys, "_r.*")
+def solve(sig: DataFrame, keys: Sequence[str], s: WarpSettings, long: int | None = None) -> DataFrame:
+    """(keys.., start, w, costs): mappings of whole short trials and of the chunks of long ones."""
+    long = LONG if long is None else long
+    size = sig.groupBy(*keys).agg((F.max("t") + 1).alias("n"))
+    any_long = not size.filter(F.col("n") > long).isEmpty()
+    short = D.attach(sig, size.filter(F.col("n") <= long), keys, size=long) if any_long else sig
+    got = short.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("t", "p", "m"))).alias("_s"))
+    got = got.withColumn("_r", mapping_udf(s)(F.col("_s.p"), F.col("_s.m"))).select(*keys, F.lit(0).cast("long").alias("start"), "_r.*")
+    if not any_long:
+        return got
+    if s.objective == "path_mean":
+        raise ValueError(f"path_mean needs whole trials; some exceed {long} seconds")
+    return got.unionByName(_solve_long(D.attach(sig, size.filter(F.col("n") > long), keys, size=long), keys, s, long))
 
 
-def align(rows: DataFrame, keys: Sequence[str], s: WarpSettings, target: str = "value", reference: str = "prior") -> DataFrame:
-    """(keys.., w, costs): one mapping per key from its rows (t, target, reference)."""
-    trial = series(signals(rows, keys, s, target, reference), keys, ["p", "m"])
-    return align_series(trial, keys, s)
+def _solve_long(sig: DataFrame, keys: Sequence[str], s: WarpSettings, size: int) -> DataFrame:
+    width, reach, step = 2 * s.band + 1, s.band, step_of(s)
+    at = F.col("t")
+    first = F.greatest(F.lit(0).cast("long"), F.floor((at - reach) / size))
+    last = F.least(F.floor((F.col("n") - 1) / size), F.floor((at + reach) / size))
+    copies = sig.withColumn("c", F.explode(F.sequence(first, last)))
+    own = F.floor(at / size) == F.col("c")
+    # a task sees one chunk plus the band on both sides
+    parts = copies.groupBy(*keys, "c").agg(
+        F.sort_array(F.collect_list(F.when(own, F.struct("t", "p")))).alias("_p"), F.sort_array(F.collect_list(F.struct("t", "m"))).alias("_m"),
+        F.max("n").alias("n"), F.min("t").alias("j0")).select(*keys, "c", "n", "j0", F.col("_p.p").alias("p"), F.col("_m.m").alias("m")).persist()
+
+    def block(p, m, k, copies_):
+        a = np.broadcast_to(np.stack(p.iloc[k]).astype(np.float64), (copies_, len(p.iloc[k]), len(p.iloc[k][0])))
+        b = np.broadcast_to(np.stack(m.iloc[k]).astype(np.float64), (copies_, len(m.iloc[k]), len(m.iloc[k][0])))
+        return a, b
+
+    def starts(c, entry, copies_):
+        if c == 0:
+            return None
+        return [np.full(copies_, x) for x in entry]
+
+    def transfer(p: pd.Series, m: pd.Series, c: pd.Series, n: pd.Series, j0: pd.Series) -> pd.Series:
+        out = []
+        for k in range(len(p)):
+            a, b = block(p, m, k, width)
+            e = None if c.iloc[k] == 0 else [np.where(np.arange(width) == o, 0.0, np.inf) for o in range(width)]
+            end, _b = forward(a, b, s, step, np.zeros(width), int(c.iloc[k]) * size, int(j0.iloc[k]), int(n.iloc[k]), e)
+            out.append(np.stack(end, axis=1).ravel())
+        return pd.Series(out)
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Entry costs of every chunk from the transfer matrices before it."""
+        pdf = pdf.sort_values("c")
+        entry, out = np.full(width, np.inf), []
+        for t in pdf["T"]:
+            out.append(entry)
+            t = np.asarray(t).reshape(width, width)
+            entry = t[0] if len(out) == 1 else (entry[:, None] + t).min(axis=0)
+        return pdf[[*keys, "c"]].assign(entry=out)
 
+    def exits(p: pd.Series, m: pd.Series, c: pd.Series, n: pd.Series, j0: pd.Series, entry: pd.Series) -> pd.Series:
+        """For each exit offset of the chunk, the offset its path came in with."""
+        out = []
+        for k in range(len(p)):
+            a, b = block(p, m, k, width)
+            i0, jj = int(c.iloc[k]) * size, int(j0.iloc[k])
+            end, back = forward(a, b, s, step, np.zeros(width), i0, jj, int(n.iloc[k]), starts(c.iloc[k], entry.iloc[k], width))
+            sound = np.isfinite([end[o][0] for o in range(width)])
+            came = np.full(width, -1)
+            if sound.any():
+                o = np.flatnonzero(sound)
+                came[o] = backward(a[o], b[o], s, back[:, :, o], o, i0, jj)[-1]
+            out.append(came.astype(np.int32))
+        return pd.Series(out)
 
-def align_joint(rows: DataFrame, keys: Sequence[str], s: WarpSettings) -> DataFrame:
-    """One mapping per (subject, video, ..) from both axes together; ``rows`` carry ``axis``."""
-    sig = signals(rows, [*keys, "axis"], s)
-    per = series(sig, [*keys, "axis"], ["p", "m"])
-    side = lambda c, a: F.max(F.when(F.col("axis") == a, F.col(c)))
-    both = per.groupBy(*keys).agg(*[side(c, a).alias(f"{c}{a}") for c in ("p", "m") for a in (0, 1)])
-    got = both.withColumn("_r", mapping_udf(s, 2)(F.concat("p0", "p1"), F.concat("m0", "m1")))
-    return got.select(*keys, "_r.*")
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Exit offset of every chunk, from the last one back."""
+        pdf = pdf.sort_values("c", ascending=False)
+        o, out = reach, []
+        for came in pdf["came"]:
+            out.append(o)
+            o = came[o]
+        return pdf[[*keys, "c"]].assign(leave=out)
 
+    def decode(p: pd.Series, m: pd.Series, c: pd.Series, n: pd.Series, j0: pd.Series, entry: pd.Series, leave: pd.Series) -> pd.DataFrame:
+        rows = []
+        for k in range(len(p)):
+            a, b = block(p, m, k, 1)
+            i0, jj = int(c.iloc[k]) * size, int(j0.iloc[k])
+            _e, back = forward(a, b, s, step, np.zeros(1), i0, jj, int(n.iloc[k]), starts(c.iloc[k], entry.iloc[k], 1))
+            low, high, lc, wc, st, ln, _x = backward(a, b, s, back, [leave.iloc[k]], i0, jj)
+            rows.append((np.clip(np.floor((low[0] + high[0]) / 2.0 + 0.5), 0, n.iloc[k] - 1).astype(np.int32), lc[0], wc[0], int(st[0]), int(ln[0])))
+        return pd.DataFrame(rows, columns=["w", "local_cost", "warp_cost", "steps", "path_length"])
 
-def unroll(mapping: DataFrame, keys: Sequence[str], out: str = "w") -> DataFrame:
-    return mapping.select(*keys, F.posexplode("w").alias("t", out)).withColumn("t", F.col("t").cast("long")).withColumn(
-        out, F.col(out).cast("long"))
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sig.schema.fields if f.name in keys)
+    args = [F.col(x) for x in ("p", "m", "c", "n", "j0")]
+    t = parts.select(*keys, "c", F.pandas_udf(transfer, "array<double>")(*args).alias("T"))
+    entry = t.groupBy(*keys).applyInPandas(chain, f"{ddl}, c long, entry array<double>")
+    ready = parts.join(entry, [*keys, "c"])
+    came = ready.select(*keys, "c", F.pandas_udf(exits, "array<int>")(*args, F.col("entry")).alias("came"))
+    leave = came.groupBy(*keys).applyInPandas(choose, f"{ddl}, c long, leave int")
+    done = ready.join(leave, [*keys, "c"]).withColumn("_r", F.pandas_udf(decode, RESULT)(*args, F.col("entry"), F.col("leave")))
+    return done.select(*keys, (F.col("c") * size).alias("start"), "_r.*")
+
+
+def seconds(solved: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys.., t, w): one row per second; chunks of a long trial are made monotone together."""
+    flat = solved.select(*keys, "start", F.posexplode("w").alias("_i", "_w")).select(
+        *keys, (F.col("start") + F.col("_i")).cast("long").alias("t"), F.col("_w").cast("long").alias("w"))
+    return D.running(flat, keys, "t", F.col("w"), "w", "max")
+
+
+def costs(solved: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return solved.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("local_cost", "warp_cost", "steps", "path_length")])
+
+
+def align(rows: DataFrame, keys: Sequence[str], s: WarpSettings, target: str = "value", reference: str = "prior") -> DataFrame:
+    """(keys.., t, w) straight from rows (t, target, reference)."""
+    return seconds(solve(signals(rows, keys, s, target, reference), keys, s), keys)
 
 
 def consensus(map_v: Column, map_a: Column) -> Column:

@@ -150,10 +150,10 @@ def full_pipeline(spark, sf, draws):
     mid = D.order_statistics(copies.join(skip, "draw"), key, F.col("value"), ranks, total="_total")
     x = F.col("value")
     low, high = F.when(x > F.col("a0"), F.col("a0")).otherwise(F.col("a1")), F.when(x > F.col("b0"), F.col("b0")).otherwise(F.col("b1"))
-    ref = rows.join(mid, key).filter(F.col("_total") > F.col("m")).withColumn("others", (low + high) / 2)
+    ref0 = rows.join(mid, key).filter(F.col("_total") > F.col("m")).withColumn("others", (low + high) / 2)
     dk = ["draw", *K3]
-    ref = P.smooth(ref.select(*dk, "t", "value", "others"), dk, 3, {"others": "prior"})
-    mp = Al.unroll(Al.align(ref, dk, DEFAULT), dk)
+    ref = written(spark, f"panel_reference_{draws}", sf, lambda: P.smooth(ref0.select(*dk, "t", "value", "others"), dk, 3, {"others": "prior"}))
+    mp = Al.align(ref, dk, DEFAULT)
     both = mp.groupBy("draw", *K2, "t").agg(F.max(F.when(F.col("axis") == 0, F.col("w"))).alias("wv"), F.max(F.when(F.col("axis") == 1, F.col("w"))).alias("wa"))
     c = D.running(both.withColumn("raw", Al.consensus(F.col("wv"), F.col("wa"))), ["draw", *K2], "t", F.col("raw"), "w", "max")
     q = c.groupBy("draw", *K2).agg(F.avg(F.abs(F.col("t") - F.col("w"))).alias("x")).join(w, ["draw", "subject"])

@@ -26,28 +26,39 @@ def held_out_rows(spark, sf):
     return oof(spark, sf).select(*K3, "t", "fold", "value", "prior")
 
 
-def signal_series(spark, sf, s=DEFAULT):
-    """Ordered alignment signals of every trial; settings with equal smoothing share them."""
-    name = f"series_r{s.radius}_{'d' if s.derivative else 'l'}"
-    return written(spark, name, sf, lambda: Al.series(Al.signals(held_out_rows(spark, sf), K3, s), K3, ["p", "m"]))
+def signal_rows(spark, sf, s=DEFAULT):
+    """Alignment signals per second; settings with equal smoothing share them."""
+    name = f"signals_r{s.radius}_{'d' if s.derivative else 'l'}"
+    return written(spark, name, sf, lambda: Al.signals(held_out_rows(spark, sf), K3, s))
 
 
 def mappings(spark, sf):
     """Axis mappings of every trial to its held-out reference, per second."""
-    return written(spark, "axis_mappings", sf, lambda: Al.align_series(signal_series(spark, sf), K3, DEFAULT))
+    return written(spark, "axis_mappings", sf, lambda: Al.seconds(Al.solve(signal_rows(spark, sf), K3, DEFAULT), K3))
 
 
 def by_objective(spark, sf):
-    from functools import reduce
-    return reduce(lambda a, b: a.unionByName(b), [
-        Al.align_series(signal_series(spark, sf), K3, Al.WarpSettings(objective=o)).withColumn("objective", F.lit(o))
-        for o in ("direct_step", "step_zero", "path_mean")])
+    """Solved trials and chunks under each objective."""
+    def build():
+        from functools import reduce
+        return reduce(lambda a, b: a.unionByName(b), [
+            Al.solve(signal_rows(spark, sf), K3, Al.WarpSettings(objective=o)).withColumn("objective", F.lit(o))
+            for o in ("direct_step", "step_zero", "path_mean")])
+    return written(spark, "by_objective", sf, build)
+
+
+def joint_lags(spark, sf):
+    """Mean absolute lag of one mapping from both axes together."""
+    def build():
+        m = Al.seconds(Al.solve(Al.join_axes(signal_rows(spark, sf), K2), K2, DEFAULT), K2)
+        return m.groupBy(*K2).agg(F.avg(F.abs(F.col("t") - F.col("w"))).alias("multivariate"))
+    return written(spark, "joint_lags", sf, build)
 
 
 def timed(spark, sf):
     """(subject, video, t, wv, wa, w): both axis mappings and the monotone consensus."""
     def build():
-        m = Al.unroll(mappings(spark, sf), K3)
+        m = mappings(spark, sf)
         both = m.groupBy(*K2, "t").agg(F.max(F.when(F.col("axis") == 0, F.col("w"))).alias("wv"), F.max(F.when(F.col("axis") == 1, F.col("w"))).alias("wa"))
         return D.running(both.withColumn("raw", Al.consensus(F.col("wv"), F.col("wa"))), K2, "t", F.col("raw"), "w", "max")
     return written(spark, "timed", sf, build)
@@ -55,20 +66,20 @@ def timed(spark, sf):
 
 @query("ts6_banded_mapping")
 def _(spark, sf):
-    return Al.unroll(mappings(spark, sf), K3)
+    return mappings(spark, sf)
 
 
 @query("uf2_alignment_jobs")
 def _(spark, sf):
-    m = Al.unroll(mappings(spark, sf), K3)
+    m = mappings(spark, sf)
     return m.groupBy(*K3).agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("t") - F.col("w"))).alias("widest"))
 
 
 @query("ts7_alignment_objectives")
 def _(spark, sf):
-    return by_objective(spark, sf).select(
-        "objective", *K3, r6("local_cost"), r6("warp_cost"), F.col("steps").cast("long").alias("steps"), F.col("path_length").cast("long").alias("path_length"),
-        r6((F.col("local_cost") + F.col("warp_cost") + F.when(F.col("objective") == "step_zero", 0.0).otherwise(0.05) * F.col("steps")) / F.col("path_length"), "cost_per_node"))
+    c = Al.costs(by_objective(spark, sf), ["objective", *K3])
+    per = (F.col("local_cost") + F.col("warp_cost") + F.when(F.col("objective") == "step_zero", 0.0).otherwise(0.05) * F.col("steps")) / F.col("path_length")
+    return c.select("objective", *K3, r6("local_cost"), r6("warp_cost"), "steps", "path_length", r6(per, "cost_per_node"))
 
 
 def wide_rows(spark, sf):
@@ -142,7 +153,7 @@ def _(spark, sf):
 
 @query("ts10_lag_estimands")
 def _(spark, sf):
-    joint = Al.unroll(Al.align_joint(held_out_rows(spark, sf), K2, DEFAULT), K2).groupBy(*K2).agg(F.avg(F.abs(F.col("t") - F.col("w"))).alias("multivariate"))
+    joint = joint_lags(spark, sf)
     d = decomposition(spark, sf)
     return d.join(joint, K2).select(*K2, r6("q", "consensus"), r6((F.col("q_valence") + F.col("q_arousal")) / 2, "axis_mean"), r6("multivariate"),
                                     r6("q_valence", "valence_only"), r6("q_arousal", "arousal_only"))
@@ -163,7 +174,8 @@ def _(spark, sf):
 
 def lopo_matrix(spark, sf):
     def build():
-        m = Al.unroll(Al.align(loo_rows(spark, sf), K3, DEFAULT), K3)
+        ref = written(spark, "loo_reference", sf, lambda: loo_rows(spark, sf))
+        m = Al.align(ref, K3, DEFAULT)
         both = m.groupBy(*K2, "t").agg(F.max(F.when(F.col("axis") == 0, F.col("w"))).alias("wv"), F.max(F.when(F.col("axis") == 1, F.col("w"))).alias("wa"))
         c = D.running(both.withColumn("raw", Al.consensus(F.col("wv"), F.col("wa"))), K2, "t", F.col("raw"), "w", "max")
         return c.groupBy(*K2).agg(F.avg(F.abs(F.col("t") - F.col("w"))).alias("q"), F.avg(F.col("t") - F.col("w")).alias("b"))
@@ -204,7 +216,7 @@ def _(spark, sf):
         "radius_0": Al.WarpSettings(radius=0), "level": Al.WarpSettings(derivative=False)}
     parts = []
     for name, s in settings.items():
-        m = Al.unroll(Al.align_series(signal_series(spark, sf, s), K3, s), K3).groupBy(*K2).agg(F.avg(F.abs(F.col("t") - F.col("w"))).alias("q"))
+        m = Al.seconds(Al.solve(signal_rows(spark, sf, s), K3, s), K3).groupBy(*K2).agg(F.avg(F.abs(F.col("t") - F.col("w"))).alias("q"))
         parts.append(m.withColumn("setting", F.lit(name)))
     stack = reduce(lambda a, b: a.unionByName(b), parts)
     base = parts[0].select(*K2, F.col("q").alias("q0"))
@@ -280,7 +292,7 @@ def _(spark, sf):
 @query("cq17_estimand_reliability")
 def _(spark, sf):
     d = decomposition(spark, sf)
-    joint = Al.unroll(Al.align_joint(held_out_rows(spark, sf), K2, DEFAULT), K2).groupBy(*K2).agg(F.avg(F.abs(F.col("t") - F.col("w"))).alias("multivariate"))
+    joint = joint_lags(spark, sf)
     w = d.join(joint, K2).select("subject", F.col("video").alias("item"), F.col("q").alias("consensus"), ((F.col("q_valence") + F.col("q_arousal")) / 2).alias("axis_mean"),
                                  "multivariate", F.col("q_valence").alias("valence_only"), F.col("q_arousal").alias("arousal_only"))
     long = w.unpivot(["subject", "item"], ["consensus", "axis_mean", "multivariate", "valence_only", "arousal_only"], "estimand", "x")
@@ -290,8 +302,10 @@ def _(spark, sf):
 
 @query("cq18_objective_audit")
 def _(spark, sf):
-    s = by_objective(spark, sf).withColumn("q", F.aggregate(
-        F.transform("w", lambda x, i: F.abs(x - i).cast("double")), F.lit(0.0), lambda a, b: a + b) / F.size("w"))
+    key = ["objective", *K3]
+    solved = by_objective(spark, sf)
+    q = Al.seconds(solved, key).groupBy(*key).agg(F.avg(F.abs(F.col("t") - F.col("w"))).alias("q"))
+    s = Al.costs(solved, key).join(q, key)
     return s.groupBy("objective").agg(F.count(F.lit(1)).alias("mappings"), r6(F.avg("q"), "mean_q"), r6(F.avg("steps"), "mean_steps"), r6(F.avg("path_length"), "mean_path"),
                                       r6(F.avg(F.col("local_cost") / F.col("path_length")), "local_per_node"))
 
@@ -312,8 +326,8 @@ def circular_null(spark, sf, bank):
     rolled = j.withColumn("to", (F.col("t") + shift) % F.col("n"))
     key = ["bank", *K3]
     moved = rolled.select(*key, F.col("to").alias("t"), F.col("value").alias("rolled"))
-    both = j.select(*key, "t", "value", "prior").join(moved, [*key, "t"])
-    m = Al.unroll(Al.align(both, key, DEFAULT, "rolled", "prior"), key)
+    both = written(spark, f"rolled_{bank}", sf, lambda: j.select(*key, "t", "value", "prior").join(moved, [*key, "t"]))
+    m = Al.align(both, key, DEFAULT, "rolled", "prior")
     other = m.withColumn("axis", 1 - F.col("axis"))
     ref = rows.select(*K3, F.col("t").alias("w"), F.col("prior").alias("moved"))
     g = both.join(other, [*key, "t"]).join(ref, [*K3, "w"]).groupBy("bank", *K2).agg(
