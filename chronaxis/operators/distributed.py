@@ -15,6 +15,16 @@ from pyspark.sql import functions as F
 
 CHUNK = 4096
 
+# Largest group a single task may sort.  Group sizes are counted before each
+# ordering; beyond the limit the chunked and binned forms take over.
+GROUP_LIMIT = 1 << 16
+
+
+def bounded(df: DataFrame, keys: Sequence[str]) -> bool:
+    """True when no key owns more than GROUP_LIMIT rows (one map-side-combined count)."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    return sizes.filter(F.col("_size") > GROUP_LIMIT).isEmpty()
+
 
 def _cols(names: Sequence[str]) -> list[Column]:
     return [F.col(n) for n in names]
@@ -42,6 +52,9 @@ def positions(
     an id range).  Rows are ranked inside (key, bucket) and shifted by the size
     of the earlier buckets, which is the same number ``row_number`` gives.
     """
+    if bounded(df, keys):
+        row = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return df.withColumn(out, (row - 1).cast("long"))
     rows = df.withColumn("_b", bucket)
     local = Window.partitionBy(*keys, "_b").orderBy(*order)
     sizes = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
@@ -60,7 +73,10 @@ def dense_index(ids: DataFrame, column: str, bucket: Column, out: str = "idx") -
     Bucket sizes are summed in two levels so that the only single-task window
     sees one row per 4096 buckets.
     """
-    rows = ids.select(column).distinct().withColumn("_b", bucket)
+    unique = ids.select(column).distinct()
+    if bounded(unique, []):
+        return unique.select(column, (F.row_number().over(Window.orderBy(column)) - 1).cast("long").alias(out))
+    rows = unique.withColumn("_b", bucket)
     sizes = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     if dict(sizes.dtypes)["_b"] in ("bigint", "int"):
         sizes = sizes.withColumn("_s", F.floor(F.col("_b") / CHUNK))
@@ -159,6 +175,12 @@ def order_statistics(
     Only the bins that hold a wanted rank are opened, so a key is never
     gathered whole: a task sees one bin of distinct values.
     """
+    if bounded(df, keys):
+        sorted_all = df.groupBy(*keys).agg(F.sort_array(F.collect_list(value.cast("double"))).alias("_s"))
+        sized = sorted_all.withColumn(total, F.size("_s").cast("long")).filter(F.col(total) > 0)
+        at = [F.element_at("_s", (F.greatest(F.lit(0), F.least(rank(F.col(total)), F.col(total) - 1)) + 1).cast("int")).alias(name)
+              for name, rank in ranks.items()]
+        return sized.select(*keys, total, *at)
     counted = df.groupBy(*keys, value.cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_cnt"))
     counted = counted.filter(F.col("_x").isNotNull()).withColumn("_b", F.floor(F.col("_x") / F.lit(width)))
     bins = counted.groupBy(*keys, "_b").agg(F.sum("_cnt").alias("_bn"))
@@ -263,6 +285,14 @@ def ranked(
     its own bin when an ordinal rank is asked for.
     """
     sign = -1 if descending else 1
+    if bounded(df, keys):
+        out = df.withColumn("_x", value.cast("double") * sign)
+        if average:
+            tied = F.count(F.lit(1)).over(Window.partitionBy(*keys, "_x"))
+            out = out.withColumn(average, F.rank().over(Window.partitionBy(*keys).orderBy("_x")) + (tied - 1) / 2)
+        if ordinal:
+            out = out.withColumn(ordinal, F.row_number().over(Window.partitionBy(*keys).orderBy("_x", *ties)).cast("long"))
+        return out.drop("_x")
     rows = df.withColumn("_x", value.cast("double") * sign).withColumn("_b", F.floor(F.col("_x") / F.lit(width)))
     out = rows
     if average:

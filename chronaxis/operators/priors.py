@@ -93,9 +93,10 @@ def held_out_reference(long: DataFrame, folds: DataFrame, n: int, radius: int) -
     return smooth(curve, ["vfold", "video", "axis"], radius, {"med": "prior"})
 
 
-def population_oof(long: DataFrame, folds: DataFrame, n: int = 5, radius: int = 3) -> DataFrame:
+def population_oof(long: DataFrame, folds: DataFrame, n: int = 5, radius: int = 3, reference: DataFrame | None = None) -> DataFrame:
     """Every labelled second predicted once from the other folds' subjects."""
-    ref = held_out_reference(long, folds, n, radius).select("vfold", "video", "axis", "t", "prior")
+    ref = held_out_reference(long, folds, n, radius) if reference is None else reference
+    ref = ref.select("vfold", "video", "axis", "t", "prior")
     rows = long.join(folds, "subject").withColumnRenamed("fold", "vfold")
     return clamp_lookup(rows, ref, ["vfold", "video", "axis"]).withColumnRenamed("vfold", "fold")
 

@@ -30,7 +30,10 @@ OOF_ALL = with_(TRACE, LONG, FOLDS, TRAIN, REF, OOF)
 def build_oof(spark, sf):
     tr = A.trace(spark, sf)
     long = A.long_axes(tr, "subject", "video", "t")
-    return P.population_oof(long, A.subject_folds(tr))
+    folds = A.subject_folds(tr)
+    # the reference is read twice (curve ends and values) and is small next to the rows
+    ref = written(spark, "held_out_reference", sf, lambda: P.held_out_reference(long, folds, 5, 3))
+    return P.population_oof(long, folds, reference=ref)
 
 
 def oof(spark, sf):

@@ -12,6 +12,12 @@ from chronaxis.operators import priors as P
 from chronaxis.operators import windows as Wn
 
 
+@pytest.fixture(params=["small groups", "hot groups"], autouse=True)
+def group_limit(request, monkeypatch):
+    """Run everything through the one-task forms and through the chunked forms."""
+    monkeypatch.setattr(D, "GROUP_LIMIT", 1 << 16 if request.param == "small groups" else 0)
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     rng = np.random.default_rng(5)
