@@ -492,8 +492,10 @@ SELECT {q6(G.format(k='7'))} AS relative_g, {q6('lo')} AS low, {q6('hi')} AS hig
 def _(spark, sf):
     cells, m = crossed_cells(spark, sf)
     i = Rs.interval(Rl.variance_components(cells, ["draw"], wp="wp", wv="wv").select(Rl.relative_g(F.lit(7)).alias("stat")))
-    g = comp(spark, sf).select(Rl.relative_g(F.lit(7)).alias("g"))
-    return i.select(r6(g.scalar(), "relative_g"), r6("low"), r6("high"), S.gate_status(F.col("low"), F.col("high"), 0.5).alias("gate"))
+    g = comp(spark, sf).select(Rl.relative_g(F.lit(7)).alias("g"), F.lit(0).alias("one"))
+    # two one-row results side by side
+    return i.withColumn("one", F.lit(0)).join(g, "one").select(
+        r6("g", "relative_g"), r6("low"), r6("high"), S.gate_status(F.col("low"), F.col("high"), 0.5).alias("gate"))
 
 
 @query("flt12_study_gates", with_(MATRIX, COMP) + f"""SELECT CASE WHEN {G.format(k='7')} >= 0.7 THEN 'pass' ELSE 'stop' END AS trait_gate, CASE WHEN {G.format(k='2')} >= 0.5 THEN 'brief budget supported' ELSE 'brief budget not supported' END AS brief_budget FROM comp""")
