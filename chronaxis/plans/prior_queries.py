@@ -297,18 +297,20 @@ def functional(spark, sf, ridge, radius, mix, cap):
     return hit.withColumn("correction", S.clip(mix * F.col("slope") * (F.col("anchor") - F.col("centre")), -cap, cap))
 
 
-@query("ts19_shifted_error", with_(TRACE, LONG, CURVE, LEN) + f""", a AS (SELECT l.subject, l.video, l.axis, l.value, l.t, n, l.t + 1.5 AS pos FROM long l JOIN len ON len.video = l.video AND len.axis = l.axis)
-SELECT a.subject, a.video, {q6('avg(abs(a.value - ((1 - (pos - floor(pos))) * lo.x + (pos - floor(pos)) * hi.x)))')} AS mae, count(*) AS k FROM a
-JOIN curve lo ON lo.video = a.video AND lo.axis = a.axis AND lo.t = CAST(floor(pos) AS BIGINT)
-JOIN curve hi ON hi.video = a.video AND hi.axis = a.axis AND hi.t = CAST(floor(pos) AS BIGINT) + 1 WHERE pos >= 0 AND pos <= n - 1 GROUP BY 1, 2""")
+@query("ts19_shifted_error", with_(TRACE, LONG, CURVE) + f""", n AS (SELECT subject, video, axis, max(t) + 1 AS n FROM long GROUP BY 1, 2, 3),
+a AS (SELECT l.subject, l.video, l.axis, l.t, n.n, least(l.t + 1.5, n.n - 1) AS pos, c.x AS tpl FROM long l JOIN n USING (subject, video, axis) JOIN curve c ON c.video = l.video AND c.axis = l.axis AND c.t = l.t WHERE l.t >= 2 AND l.t < n.n - 2)
+SELECT a.subject, a.video, {q6('avg(abs((1 - (pos - floor(pos))) * lo.value + (pos - floor(pos)) * hi.value - tpl))')} AS mae, count(*) AS k FROM a
+JOIN long lo ON lo.subject = a.subject AND lo.video = a.video AND lo.axis = a.axis AND lo.t = CAST(floor(pos) AS BIGINT)
+JOIN long hi ON hi.subject = a.subject AND hi.video = a.video AND hi.axis = a.axis AND hi.t = least(CAST(floor(pos) AS BIGINT) + 1, a.n - 1) GROUP BY 1, 2""")
 def _(spark, sf):
-    return shifted_error(long_rows(spark, sf), curves(spark, sf), 1.5, 10.0).select("subject", "video", r6("mae"), "k")
+    return shifted_error(long_rows(spark, sf), curves(spark, sf), 1.5, 2).select("subject", "video", r6("mae"), "k")
 
 
 def shifted_error(long, curve, shift, band):
-    """Error against the curve moved by a constant shift, inside the common interior."""
+    """Error of each trial, read ``shift`` seconds later, against the template inside the common interior."""
     s = max(-band, min(band, shift))
-    ends = curve.groupBy("video", "axis").agg((F.max("t") + 1).alias("_n"))
-    asked = long.join(ends, ["video", "axis"]).withColumn("_pos", F.col("t") + s).filter((F.col("_pos") >= 0) & (F.col("_pos") <= F.col("_n") - 1))
-    return P.sample_at(curve, ["video", "axis"], asked, ["x"]).groupBy("subject", "video").agg(
-        F.avg(F.abs(F.col("value") - F.col("x"))).alias("mae"), F.count(F.lit(1)).alias("k"))
+    ends = long.groupBy(*K3).agg((F.max("t") + 1).alias("_n"))
+    inner = D.attach(long.drop("value"), ends, K3, length="_n").filter((F.col("t") >= band) & (F.col("t") < F.col("_n") - band))
+    moved = P.sample_at(long.withColumnRenamed("value", "moved"), K3, inner.withColumn("_pos", F.col("t") + float(s)), ["moved"])
+    return moved.join(curve, ["video", "axis", "t"]).groupBy("subject", "video").agg(
+        F.avg(F.abs(F.col("moved") - F.col("x"))).alias("mae"), F.count(F.lit(1)).alias("k"))

@@ -128,14 +128,15 @@ def _(spark, sf):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-@query("ag21_partition_digest", """WITH b AS (SELECT user_id // 64 AS b, sha256(string_agg(CAST(user_id AS VARCHAR), '|' ORDER BY user_id)) AS h FROM (SELECT DISTINCT user_id FROM events) GROUP BY 1)
-SELECT count(*) AS blocks, sha256(string_agg(h, '|' ORDER BY b)) AS digest FROM b""")
+@query("ag21_partition_digest", """WITH a AS (SELECT user_id // 64 AS b, sha256(string_agg(CAST(user_id AS VARCHAR), '|' ORDER BY user_id)) AS h FROM (SELECT DISTINCT user_id FROM events) GROUP BY 1),
+c AS (SELECT b // 4096 AS b2, count(*) AS n, sha256(string_agg(h, '|' ORDER BY b)) AS h FROM a GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS blocks, sha256(string_agg(h, '|' ORDER BY b2)) AS digest FROM c""")
 def _(spark, sf):
-    # digest of block digests: a task sees one block of ids, the last step one digest per block
+    # a tree of digests: 64 ids per leaf, 4096 leaves per branch, one branch digest per 262,144 ids at the top
     ids = read(spark, sf, "events").select("user_id").distinct().withColumn("b", F.floor(F.col("user_id") / 64))
-    h = ids.groupBy("b").agg(F.sha2(F.concat_ws("|", F.transform(F.sort_array(F.collect_list("user_id")), lambda x: x.cast("string"))), 256).alias("h"))
-    return h.agg(
-        F.count(F.lit(1)).alias("blocks"), F.sort_array(F.collect_list(F.struct("b", "h"))).alias("x")).select("blocks", F.sha2(F.concat_ws("|", F.col("x.h")), 256).alias("digest"))
+    joined = lambda order, text: F.sha2(F.concat_ws("|", F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).cast("string").alias("x"))))["x"]), 256)
+    leaf = ids.groupBy("b").agg(joined("user_id", "user_id").alias("h"))
+    branch = leaf.groupBy(F.floor(F.col("b") / 4096).alias("b2")).agg(F.count(F.lit(1)).alias("n"), joined("b", "h").alias("h"))
+    return branch.agg(F.sum("n").alias("blocks"), joined("b2", "h").alias("digest"))
 
 
 @query("flt14_portable_paths", "SELECT page_id, replace(replace(url, 'https://', ''), 'http://', '') AS portable FROM pages")
