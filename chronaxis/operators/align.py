@@ -26,6 +26,7 @@ from . import priors as P
 from . import windows as Wn
 
 LONG = 65536
+MIXED = 1024  # the mixed objective keeps a cost per path length
 RESULT = "struct<w:array<int>,local_cost:double,warp_cost:double,steps:int,path_length:int>"
 
 
@@ -125,12 +126,72 @@ def _solve(p: np.ndarray, m: np.ndarray, s: WarpSettings, step: float, offset: n
     return mapping, local_cost, warp_cost, steps, length
 
 
+def _solve_mixed(p: np.ndarray, m: np.ndarray, s: WarpSettings):
+    """Minimize local and warp cost plus step_penalty * K / L over whole trials.
+
+    K (sideways moves) and L (path nodes) follow from the number of diagonal
+    moves d, so the best cost is kept per cell and d, and the ratio is only
+    applied at the end.  Equal totals take the shorter path.
+    """
+    count, n, _axes = p.shape
+    band, reach = max(s.band, 1), s.band
+    width = 2 * reach + 1
+    inf = np.full((count, n), np.inf)
+    before = [inf] * width
+    back = np.zeros((n, width, count, n), dtype=np.int8)
+    for i in range(n):
+        now = [inf] * width
+        for o in range(width):
+            j = i + o - reach
+            if j < 0 or j >= n:
+                continue
+            local = np.abs(p[:, i] - m[:, j]).mean(axis=1) + s.warp_penalty * abs(i - j) / band
+            if i == 0 and j == 0:
+                best = inf.copy()
+                best[:, 0] = local
+                now[o] = best
+                continue
+            best = inf.copy()
+            if i > 0:
+                best[:, 1:] = before[o][:, :-1]
+            way = np.zeros((count, n), dtype=np.int8)
+            for code, side in ((1, before[o + 1] if i > 0 and o + 1 < width else inf), (2, now[o - 1] if o > 0 else inf)):
+                better = side < best
+                best, way = np.where(better, side, best), np.where(better, code, way)
+            now[o] = best + local[:, None]
+            back[i, o] = way
+        before = now
+    d = np.arange(n)
+    nodes, sideways = 2 * n - 1 - d, 2 * (n - 1 - d)
+    total = before[reach] + s.step_penalty * sideways / nodes
+    pick = n - 1 - np.argmin(total[:, ::-1], axis=1)
+    low, high = np.full((count, n), n, dtype=np.int64), np.full((count, n), -1, dtype=np.int64)
+    local_cost, warp_cost = np.zeros(count), np.zeros(count)
+    for k in range(count):
+        i, j, left = n - 1, n - 1, pick[k]
+        while True:
+            low[k, i], high[k, i] = min(low[k, i], j), max(high[k, i], j)
+            local_cost[k] += np.abs(p[k, i] - m[k, j]).mean()
+            warp_cost[k] += s.warp_penalty * abs(i - j) / band
+            if i == 0 and j == 0:
+                break
+            way = back[i, j - i + reach, k, left]
+            i, j, left = i - (way != 2), j - (way != 1), left - (way == 0)
+    mapping = np.maximum.accumulate(np.clip(np.floor((low + high) / 2.0 + 0.5).astype(np.int64), 0, n - 1), axis=1)
+    return mapping, local_cost, warp_cost, sideways[pick], nodes[pick]
+
+
 def align_block(p: np.ndarray, m: np.ndarray, s: WarpSettings):
     count, n, _axes = p.shape
     if n < 2:
         zero = np.zeros(count)
         return np.zeros((count, n), dtype=np.int64), zero, zero, zero.astype(np.int64), np.ones(count, dtype=np.int64)
-    step = 0.0 if s.objective == "step_zero" else s.step_penalty
+    if s.objective == "mixed_step_mean":
+        # the table grows with n^2 * band per trial: take as many trials at a time as fit in 64 MB
+        take = max(1, (1 << 26) // (n * n * (2 * s.band + 1)))
+        cuts = [_solve_mixed(p[a:a + take], m[a:a + take], s) for a in range(0, count, take)]
+        return tuple(np.concatenate(c) for c in zip(*cuts))
+    step = step_of(s)
     out = _solve(p, m, s, step, np.zeros(count))
     if s.objective != "path_mean":
         return out
@@ -202,6 +263,8 @@ def join_axes(sig: DataFrame, keys: Sequence[str]) -> DataFrame:
 def solve(sig: DataFrame, keys: Sequence[str], s: WarpSettings, long: int | None = None) -> DataFrame:
     """(keys.., start, w, costs): mappings of whole short trials and of the chunks of long ones."""
     long = LONG if long is None else long
+    if s.objective == "mixed_step_mean":
+        long = min(long, MIXED)
     size = sig.groupBy(*keys).agg((F.max("t") + 1).alias("n"))
     any_long = not size.filter(F.col("n") > long).isEmpty()
     short = D.attach(sig, size.filter(F.col("n") <= long), keys, size=long) if any_long else sig
@@ -209,8 +272,8 @@ def solve(sig: DataFrame, keys: Sequence[str], s: WarpSettings, long: int | None
     got = got.withColumn("_r", mapping_udf(s)(F.col("_s.p"), F.col("_s.m"))).select(*keys, F.lit(0).cast("long").alias("start"), "_r.*")
     if not any_long:
         return got
-    if s.objective == "path_mean":
-        raise ValueError(f"path_mean needs whole trials; some exceed {long} seconds")
+    if s.objective in ("path_mean", "mixed_step_mean"):
+        raise ValueError(f"{s.objective} needs whole trials; some exceed {long} seconds")
     return got.unionByName(_solve_long(D.attach(sig, size.filter(F.col("n") > long), keys, size=long), keys, s, long))
 
 

@@ -43,7 +43,7 @@ def by_objective(spark, sf):
         from functools import reduce
         return reduce(lambda a, b: a.unionByName(b), [
             Al.solve(signal_rows(spark, sf), K3, Al.WarpSettings(objective=o)).withColumn("objective", F.lit(o))
-            for o in ("direct_step", "step_zero", "path_mean")])
+            for o in ("direct_step", "step_zero", "path_mean", "mixed_step_mean")])
     return written(spark, "by_objective", sf, build)
 
 
@@ -78,7 +78,8 @@ def _(spark, sf):
 @query("ts7_alignment_objectives")
 def _(spark, sf):
     c = Al.costs(by_objective(spark, sf), ["objective", *K3])
-    per = (F.col("local_cost") + F.col("warp_cost") + F.when(F.col("objective") == "step_zero", 0.0).otherwise(0.05) * F.col("steps")) / F.col("path_length")
+    step = F.when(F.col("objective") == "step_zero", 0.0).when(F.col("objective") == "mixed_step_mean", 0.05 / F.col("path_length")).otherwise(0.05)
+    per = (F.col("local_cost") + F.col("warp_cost") + step * F.col("steps")) / F.col("path_length")
     return c.select("objective", *K3, r6("local_cost"), r6("warp_cost"), "steps", "path_length", r6(per, "cost_per_node"))
 
 

@@ -51,6 +51,30 @@ def test_path_mean_is_not_above_the_direct_ratio():
     assert (ratio(b) <= ratio(a) + 1e-9).all()
 
 
+def test_mixed_objective_against_every_path():
+    rng = np.random.default_rng(7)
+    n, s = 6, Al.WarpSettings(band=3, objective="mixed_step_mean", step_penalty=0.4)
+    p, m = rng.normal(size=(10, n, 1)), rng.normal(size=(10, n, 1))
+
+    def paths(i, j):
+        if (i, j) == (0, 0):
+            yield [(0, 0)]
+            return
+        for a, b in ((i - 1, j - 1), (i - 1, j), (i, j - 1)):
+            if a >= 0 and b >= 0 and abs(a - b) <= 3:
+                for q in paths(a, b):
+                    yield q + [(i, j)]
+
+    every = list(paths(n - 1, n - 1))
+    got = Al.align_block(p, m, s)
+    for k in range(10):
+        def total(q):
+            sideways = 2 * len(q) - 2 * n
+            return sum(abs(p[k, i, 0] - m[k, j, 0]) + 0.15 * abs(i - j) / 3 for i, j in q) + 0.4 * sideways / len(q)
+        best = min(map(total, every))
+        assert got[1][k] + got[2][k] + 0.4 * got[3][k] / got[4][k] == pytest.approx(best)
+
+
 def curve_frame(spark, shift=4, n=100):
     x = np.linspace(0, 4 * np.pi, n)
     base = np.stack([np.sin(x), np.cos(0.7 * x)], axis=1)
