@@ -9,6 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.shared import shared_folder
 
 
+#: Whole texts travel in Arrow batches; their size is bounded in bytes, not only in rows.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "5000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    for key, value in ARROW.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def persisted(df: DataFrame, tag: str) -> DataFrame:
     """Write a table below ``spark.checkpoint.dir`` and scan it from there.
 

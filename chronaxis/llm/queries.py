@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..session import tune
 from ..sources.tables import read
-from . import chat, fingerprints, tokens, topk, urls
+from . import chat, fingerprints, shingles, tokens, topk, urls
+from .common import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -19,7 +20,7 @@ ORACLE: dict[str, str] = {}
 def query(name: str, sql: str | None = None):
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(tune(spark), sf_dir)
+            return fn(prepared(tune(spark)), sf_dir)
 
         run.__name__, run.__doc__ = name, fn.__doc__
         QUERIES[name] = run
@@ -127,3 +128,25 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", F.size("_turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
         F.coalesce("formatted_chars", F.lit(0)).cast("long").alias("formatted_chars"))
+
+
+SHINGLES = f"""
+w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE
+    list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, greatest(len(w) - 4, 1) + 1)]) END AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM s),
+e AS (SELECT doc_id, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)"""
+
+
+@query("op10_jaccard_join", f"""
+WITH RECURSIVE {SHINGLES}
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = n.doc_id) AS component_id FROM n""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle-set size and component of every document."""
+    return shingles.jaccard_components(read(spark, sf_dir, "documents"))
