@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import tune
 from ..sources.tables import read
-from . import chat, fingerprints, shingles, tokens, topk, urls
+from . import chat, fingerprints, langid, pieces, shingles, tokens, topk, urls
 from .common import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,16 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, (SELECT min(b) FROM r WHERE r.a
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle-set size and component of every document."""
     return shingles.jaccard_components(read(spark, sf_dir, "documents"))
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document from bit-sliced n-gram filters."""
+    documents = read(spark, sf_dir, "documents")
+    return langid.predict(documents, langid.fit(documents))
+
+
+@query("op8_piece_coding")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoding of every document, decoded again."""
+    return pieces.coded_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
