@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import tune
 from ..sources.tables import read
-from . import chat, fingerprints, langid, pieces, shingles, tokens, topk, urls
+from . import chat, fingerprints, langid, mixing, pieces, shingles, tokens, topk, urls
 from .common import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoding of every document, decoded again."""
     return pieces.coded_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+#: Shares of the mixture's tokens by domain.
+TARGETS = {"good": 0.9, "low": 0.1, "toxic": 0.0}
+
+
+@query("op9_source_mixing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate and copies of every document in a mixture with target domain shares."""
+    return mixing.mixed(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), TARGETS)
