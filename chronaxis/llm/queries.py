@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import tune
 from ..sources.tables import read
-from . import chat, fingerprints, langid, mixing, pieces, shingles, tokens, topk, urls
+from . import chat, fingerprints, langid, mixing, pieces, repeats, shingles, tokens, topk, urls
 from .common import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,9 @@ TARGETS = {"good": 0.9, "low": 0.1, "toxic": 0.0}
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rate and copies of every document in a mixture with target domain shares."""
     return mixing.mixed(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), TARGETS)
+
+
+@query("op4_repeat_removal")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without 50-byte strings of earlier documents."""
+    return repeats.without_repeats(read(spark, sf_dir, "documents"), digests=True)
