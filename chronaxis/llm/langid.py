@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ORDERS = (2, 3, 4)
 SLOT_BITS = 20
@@ -165,8 +166,8 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(n, pa.int64())], ["lang", "c"])
 
 
-def predict(documents: DataFrame, filters: Filters) -> DataFrame:
-    """One row per input row: doc_id, held_out, lang_pred, score.
+def predict(documents: DataFrame, filters: Filters, carry: bool = False) -> DataFrame:
+    """One row per input row: doc_id, held_out, lang_pred, score; with ``carry`` also the input row as struct ``row``.
 
     The score is the winner's share of all corrected popcounts.  Null text and
     text without a letter give ``und`` and 0; so does everything if nothing
@@ -191,8 +192,11 @@ def predict(documents: DataFrame, filters: Filters) -> DataFrame:
                     if known[i]:
                         names[i] = model.languages[best[i]]
                         scores[i] = float(points[best[i], i] / total[i]) if total[i] > 0 else 0.0
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                                             ["doc_id", "held_out", "lang_pred", "score"])
-
-    rows = documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+            rest = [(c, batch.column(c)) for c in ("row",) if carry]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), *(v for _, v in rest)],
+                ["doc_id", "held_out", "lang_pred", "score", *(c for c, _ in rest)])
+
+    rows = documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", *([F.struct("*").alias("row")] if carry else []))
+    shape = T.StructType.fromDDL("doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(run, T.StructType(shape.fields + ([rows.schema["row"]] if carry else [])))

@@ -28,8 +28,12 @@ def _level(share: Column) -> Column:
     return sum((share > s).cast("int") for s in steps)
 
 
-def marked(documents: DataFrame) -> DataFrame:
-    """doc_id, text, n_tokens, tokens: distinct lower-cased words and a few marks for the shape of the text."""
+def marked(documents: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, text, n_tokens, tokens: distinct lower-cased words and a few marks for the shape of the text.
+
+    With ``carry`` also the input row as struct ``row``.
+    """
+    rest = [F.struct("*").alias("row")] if carry else []
     text = F.coalesce("text", F.lit(""))
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     size = F.greatest(F.length(text), F.lit(1))
@@ -37,12 +41,12 @@ def marked(documents: DataFrame) -> DataFrame:
     def removed(chars: str) -> Column:
         return (F.length(text) - F.length(F.translate(text, chars, ""))) / size
 
-    out = documents.select("doc_id", "text", words.alias("_w"), removed(SYMBOLS).alias("_s"), removed(CAPITALS).alias("_c"))
+    out = documents.select("doc_id", "text", *rest, words.alias("_w"), removed(SYMBOLS).alias("_s"), removed(CAPITALS).alias("_c"))
     out = out.withColumn("n_tokens", F.size("_w").cast("long"))
     out = out.withColumn("_w", F.array_distinct("_w"))
     again = F.when(F.col("n_tokens") > 20, 1 - F.size("_w") / F.col("n_tokens")).otherwise(0.0)
     shape = F.array(*[F.concat(F.lit(f"#{name}"), _level(value).cast("string")) for name, value in (("symbols", F.col("_s")), ("capitals", F.col("_c")), ("repeats", again))])
-    return out.select("doc_id", "text", "n_tokens", F.concat("_w", shape).alias("tokens"))
+    return out.select("doc_id", "text", "n_tokens", *(["row"] if carry else []), F.concat("_w", shape).alias("tokens"))
 
 
 LEVELS = 24
@@ -133,11 +137,11 @@ def _rising(points: list[tuple[float, float]]) -> list[float]:
     return [m for m, _, k in pools for _ in range(int(k))]
 
 
-def with_posteriors(documents: DataFrame, model: Classifier) -> DataFrame:
-    """doc_id, n_tokens and one column p_<domain> per domain, summing to 1."""
-    docs = marked(documents)
+def with_posteriors(documents: DataFrame, model: Classifier, carry: bool = False) -> DataFrame:
+    """doc_id, n_tokens and one column p_<domain> per domain, summing to 1 (with ``carry`` also ``row``)."""
+    docs = marked(documents, carry)
     chances = model.posteriors(F.col("tokens"))
-    return docs.select("doc_id", "n_tokens", *[chances[d].alias(f"p_{d}") for d in DOMAINS])
+    return docs.select("doc_id", "n_tokens", *(["row"] if carry else []), *[chances[d].alias(f"p_{d}") for d in DOMAINS])
 
 
 def fitted_rates(members: DataFrame, targets: dict[str, float] | None, tolerance: float = 1e-4, steps: int = 40) -> Column:
@@ -186,3 +190,14 @@ def mixed(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | N
     rate = fitted_rates(members, targets)
     draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(29)), F.lit(1 << 30)) / (1 << 30)
     return members.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + draw).cast("long"))
+
+
+def mixture(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None, fit_rows: int = 20000) -> DataFrame:
+    """The rows of the mixture with the columns of the input, each as often as its rate rounded to a whole number.
+
+    Rounding to the nearest keeps every row whose rate is above one half.
+    """
+    model = fit(documents, labels, fit_rows)
+    rate = fitted_rates(persisted(with_posteriors(documents, model), "mixing-members"), targets)
+    rows = with_posteriors(documents, model, carry=True).withColumn("_n", F.floor(rate + F.lit(0.5)).cast("int"))
+    return rows.filter("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("row.*")

@@ -175,7 +175,23 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), TARGETS)
 
 
-@query("op4_repeat_removal")
+@query("op4_repeat_removal", """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 48)) AS i FROM b)),
+m AS (SELECT s, min(doc_id) AS d FROM w GROUP BY s HAVING count(*) > 1),
+f AS (SELECT w.doc_id, w.i FROM w JOIN m ON w.s = m.s WHERE m.d < w.doc_id),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM f),
+k AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g),
+s AS (SELECT doc_id, span, min(i) AS a, max(i) + 50 AS z FROM k GROUP BY doc_id, span),
+p AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1) AS y FROM s),
+r AS (
+  SELECT p.doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS last,
+         string_agg(substr(h, 2 * y - 1, 2 * (a - y)), '' ORDER BY a) AS kept
+  FROM p JOIN b ON p.doc_id = b.doc_id GROUP BY p.doc_id)
+SELECT b.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 1) - 1))) AS kept_sha256
+FROM b LEFT JOIN r ON b.doc_id = r.doc_id""")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without 50-byte strings of earlier documents."""
     return repeats.without_repeats(read(spark, sf_dir, "documents"), digests=True)

@@ -40,8 +40,9 @@ BATCH = 4096                   # strings of one merge
 SHARDS = 8
 LAST_ID = np.iinfo(np.int64).max  # stands for a null id: smaller than none
 
-CHUNK = pa.schema([("chunk", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("text", pa.binary())])
-CHUNK_DDL = "chunk long, ids binary, sizes binary, text binary"
+CHUNK = pa.schema([("chunk", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("text", pa.binary()),
+                   ("carry", pa.list_(pa.string()))])
+CHUNK_DDL = "chunk long, ids binary, sizes binary, text binary, carry array<string>"
 
 
 def _pack(chunk_bytes: int):
@@ -51,21 +52,22 @@ def _pack(chunk_bytes: int):
 
 def _packed(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
     base, made = TaskContext.get().partitionId() << 32, 0
-    ids, texts, size = [], [], 0
+    ids, texts, carry, size = [], [], [], 0
 
     def flush() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([
             pa.array([base + made], pa.int64()), pa.array([np.array(ids, "<i8").tobytes()]),
-            pa.array([np.array([len(t) for t in texts], "<i8").tobytes()]), pa.array([b"".join(texts)], pa.binary())], schema=CHUNK)
+            pa.array([np.array([len(t) for t in texts], "<i8").tobytes()]), pa.array([b"".join(texts)], pa.binary()), pa.array([carry], pa.list_(pa.string()))], schema=CHUNK)
 
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+        for doc_id, text, rest in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "carry"))):
+            carry.append(rest)
             ids.append(LAST_ID if doc_id is None else doc_id)
             texts.append((text or "").encode("utf-8", "surrogatepass"))
             size += len(texts[-1])
             if size >= chunk_bytes:
                 yield flush()
-                made, ids, texts, size = made + 1, [], [], 0
+                made, ids, texts, carry, size = made + 1, [], [], [], 0
     if ids:
         yield flush()
 
@@ -345,8 +347,8 @@ def removed_bytes(chunk: Chunk, asked: Wanted, answers: list[dict]) -> np.ndarra
     return np.cumsum(step)[:len(chunk.text)] > 0
 
 
-KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())])
-KEPT_DDL = "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary"
+KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.string()), ("carry", pa.string())])
+KEPT_DDL = "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept string, carry string"
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 DIGESTS_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -369,19 +371,20 @@ def _cut(buckets: int, digests: bool):
                     if digests:
                         line |= {"n_spans": len(edges) // 2, "kept_sha256": hashlib.sha256(kept).hexdigest()}
                     else:
-                        line |= {"spans": edges.reshape(-1, 2).tolist(), "kept": kept}
+                        line |= {"spans": edges.reshape(-1, 2).tolist(), "kept": kept.decode("utf-8", "ignore"), "carry": row["carry"][i]}
                     out.append(line)
                 yield pa.RecordBatch.from_pylist(out, schema=DIGESTS if digests else KEPT)
     return run
 
 
 def without_repeats(documents: DataFrame, digests: bool = False, chunk_bytes: int = CHUNK_BYTES, hot: int = HOT) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, and the removed spans and kept bytes.
+    """One row per input row: doc_id, n_bytes, n_removed, spans, kept, carry.
 
     A byte goes if a 50-byte string that covers it also starts in a document
     with a smaller doc_id, judged on the input.  ``spans`` lists the maximal
-    removed runs as [start, end) bytes; with ``digests`` their number and the
-    SHA-256 of the kept bytes are returned instead.  Null text is empty; texts
+    removed runs as [start, end) bytes and ``kept`` is the text of the other
+    bytes, without parts of characters that a cut left behind; with ``digests``
+    the number of runs and the SHA-256 of the kept bytes are returned instead.  Null text is empty; texts
     under 50 bytes keep everything.  Rows with one doc_id do not shorten each
     other, and a null id counts as larger than all others.  Matches never cross
     documents.  Other columns are not carried.
@@ -389,7 +392,8 @@ def without_repeats(documents: DataFrame, digests: bool = False, chunk_bytes: in
     spark = documents.sparkSession
     name = f"llm_chunks_{uuid.uuid4().hex}"
     width = partitions(spark)
-    packed = documents.select("doc_id", "text").mapInArrow(_pack(chunk_bytes), CHUNK_DDL)
+    carry = F.col("carry").cast("string").alias("carry") if "carry" in documents.columns and not digests else F.lit(None).cast("string").alias("carry")
+    packed = documents.select("doc_id", "text", carry).mapInArrow(_pack(chunk_bytes), CHUNK_DDL)
     packed.write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/llm/{name}").bucketBy(width, "chunk").saveAsTable(name)
     chunks = spark.table(name)
     buckets = 4 * width
