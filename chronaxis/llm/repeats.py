@@ -185,9 +185,10 @@ def _states(table: pa.Table, hot: int) -> pa.Table:
                      "answer": pa.array([state[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())}, schema=MASKS)
 
 
-def _digest(rows: np.ndarray) -> np.ndarray:
+def _digest(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of padded strings; the size tells padding from zero bytes."""
     words = rows.view("<u8")
-    out = np.zeros(len(rows), np.uint64)
+    out = size.astype(np.uint64)
     for k in range(words.shape[1]):
         out = mix(out + words[:, k] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1))
     return out
@@ -210,18 +211,19 @@ class Wanted:
         self.start = np.concatenate((chunk.start[run], each))
         self.count = np.concatenate((chunk.count[run], np.ones(len(each), np.int64)))
         self.doc = np.concatenate((chunk.doc[run], np.repeat(chunk.doc[hot], windows)))
-        rows = chunk.strings(self.start, self.count + LENGTH - 1)
-        digest = _digest(rows) if len(rows) else np.zeros(0, np.uint64)
+        size = self.count + LENGTH - 1
+        rows = chunk.strings(self.start, size)
+        digest = _digest(rows, size)
         key = np.concatenate((chunk.key[run], digest[len(run):] >> np.uint64(16)))
         sort = np.lexsort((digest, key, key % np.uint64(buckets)))
-        rows, digest, key = rows[sort], digest[sort], key[sort]
+        rows, digest, key, size = rows[sort], digest[sort], key[sort], size[sort]
         fresh = np.ones(len(sort), bool)
         if len(sort):
-            fresh[1:] = (digest[1:] != digest[:-1]) | (key[1:] != key[:-1]) | (rows[1:] != rows[:-1]).any(axis=1)
+            fresh[1:] = (digest[1:] != digest[:-1]) | (key[1:] != key[:-1]) | (size[1:] != size[:-1]) | (rows[1:] != rows[:-1]).any(axis=1)
         self.which = np.empty(len(sort), np.int64)  # string of each occurrence
         self.which[sort] = np.cumsum(fresh) - 1
         self.rows, self.key = rows[fresh], key[fresh]
-        self.size = (self.count[sort][fresh] + LENGTH - 1).astype(np.uint8)
+        self.size = size[fresh].astype(np.uint8)
         self.least = np.full(len(self.rows), LAST_ID)
         np.minimum.at(self.least, self.which, chunk.ids[self.doc])
         self.ends = np.searchsorted((self.key % np.uint64(buckets)).astype(np.int64), np.arange(buckets + 1))
@@ -275,10 +277,10 @@ def _answers(table: pa.Table) -> pa.Table:
     rows = np.zeros((len(size), WIDTH), np.uint8)
     rows[np.arange(WIDTH)[None, :] < size[:, None]] = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
     counts = [len(s) for s in table.column("sizes").to_pylist()]
-    digest = _digest(rows)
+    digest = _digest(rows, size)
     order = np.lexsort((digest, key))
     k, d = key[order], digest[order]
-    fresh = np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1]) | (rows[order[1:]] != rows[order[:-1]]).any(axis=1)]
+    fresh = np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1]) | (size[order[1:]] != size[order[:-1]]) | (rows[order[1:]] != rows[order[:-1]]).any(axis=1)]
     which = np.empty(len(order), np.int64)
     which[order] = np.cumsum(fresh) - 1
     head = order[fresh]
@@ -306,7 +308,7 @@ def _answers(table: pa.Table) -> pa.Table:
     edge[at] = True
     runs = np.flatnonzero(edge)
     length = np.diff(np.append(runs, len(best))).astype(np.uint8)
-    per = np.add.reduceat(edge, at).astype(np.int64)
+    per = np.add.reduceat(edge.astype(np.int64), at)
     first = np.cumsum(per) - per
     value = best[runs]
     out = []
