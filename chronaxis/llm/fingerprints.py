@@ -158,7 +158,7 @@ def edited_fingerprints(documents: DataFrame) -> DataFrame:
     ranges = 4 * partitions(spark)
     known = documents.select("doc_id").dropna()
     # At most one bound per range, whatever the size of the table.
-    bounds = sorted(set(known.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
+    bounds = sorted(set(known.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.25 / ranges))) or [0.0]
     # Ranges are numbered by descending id; null ids get the last number.
     splits = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="_id", outputCol="_range", handleInvalid="keep")
 
