@@ -1,8 +1,9 @@
 """N-gram Jaccard join: size-banded tiles, bitmap signatures, exact intersection.
 
 A document is the set of its distinct word n-grams.  Equal sets are one node.
-Only nodes that share one of their smallest n-gram hashes with another node can
-have a partner (prefix filter); their hashed bitmaps meet in tiles.  A tile
+Only nodes that share some of their smallest n-gram hashes with other nodes can
+have a partner, and only if they share enough of them (prefix filter); their
+hashed bitmaps meet in tiles.  A tile
 pairs two blocks of nodes of nearby sizes, and the bit counts of the XOR bound
 the overlap from above.  Pairs that pass are intersected exactly as sorted
 arrays.  Nodes already connected need no further pair, so a group of near
@@ -121,9 +122,13 @@ def bitmap(grams: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def spare(size: int, percent: int) -> int:
+    return size * (100 - percent) // 200
+
+
 def prefix_length(size: int, percent: int) -> int:
-    """Two sets at the threshold share one of so many smallest elements."""
-    return size - -(-percent * size // 100) + 1
+    """Two sets at the threshold share at least 1 + the smaller :func:`spare` of so many smallest elements."""
+    return size - -(-percent * size // 100) + 1 + spare(size, percent)
 
 
 SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("bits", pa.binary())])
@@ -138,7 +143,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keys(buckets: int, percent: int):
-    """Prefix hashes by bucket, each once per task part, and nodes that already met a partner."""
+    """Prefix hashes by bucket, each once per task part, and how many of its hashes each node already shares here."""
     def cut(keys: list[np.ndarray], sids: list[np.ndarray]) -> pa.RecordBatch:
         k, s = np.concatenate(keys), np.concatenate(sids)
         order = np.lexsort((s, k))
@@ -147,20 +152,23 @@ def _keys(buckets: int, percent: int):
         run = np.cumsum(first) - 1
         starts = np.flatnonzero(first)
         several = np.minimum.reduceat(s, starts) < np.maximum.reduceat(s, starts)
-        met = np.unique(s[several[run]])
+        fresh = first | np.r_[True, s[1:] != s[:-1]]
+        met, times = np.unique(s[several[run] & fresh], return_counts=True)
         k, s = k[starts], s[starts]
         home = (k >> np.uint64(32)).astype(np.int64) % buckets
         order = np.argsort(home, kind="stable")
-        k, s = k[order], s[order]
+        k, s, several = k[order], s[order], several[order]
         ends = np.searchsorted(home[order], np.arange(buckets + 1))
-        rows = {"bucket": [], "keys": [], "sids": [], "met": []}
+        rows = {c: [] for c in KEYS.names}
         for b in range(buckets):
-            at, mine = slice(ends[b], ends[b + 1]), met[b::buckets]
-            if at.start < at.stop or len(mine):
+            at, mine = slice(ends[b], ends[b + 1]), slice(b, None, buckets)
+            if at.start < at.stop or b < len(met):
                 rows["bucket"].append(b)
                 rows["keys"].append(k[at].tobytes())
                 rows["sids"].append(s[at].tobytes())
-                rows["met"].append(mine.tobytes())
+                rows["several"].append(several[at].tobytes())
+                rows["met"].append(met[mine].tobytes())
+                rows["times"].append(times[mine].astype("<i8").tobytes())
         return pa.RecordBatch.from_pydict(rows, schema=KEYS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,23 +188,29 @@ def _keys(buckets: int, percent: int):
     return run
 
 
-KEYS = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("sids", pa.binary()), ("met", pa.binary())])
+KEYS = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("keys", "sids", "several", "met", "times")])
+KEYS_DDL = "bucket int, keys binary, sids binary, several binary, met binary, times binary"
+
 
+def _shared(table: pa.Table) -> pa.Table:
+    """How many keys of one bucket each node shares with another node."""
+    def column(name: str, kind: str) -> np.ndarray:
+        return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
-def _partnered(table: pa.Table) -> pa.Table:
-    """Nodes of one bucket that share a key with another node."""
-    keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), "<u8")
-    sids = np.frombuffer(b"".join(table.column("sids").to_pylist()), "<i8")
-    met = np.frombuffer(b"".join(table.column("met").to_pylist()), "<i8")
-    order = np.lexsort((sids, keys))
-    keys, sids = keys[order], sids[order]
+    keys, sids, several = column("keys", "<u8"), column("sids", "<i8"), column("several", "?")
+    order = np.argsort(keys, kind="stable")
+    keys, sids, several = keys[order], sids[order], several[order]
     first = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
     starts = np.flatnonzero(first)
+    more = sids[:0]
     if len(starts):
-        low, high = np.minimum.reduceat(sids, starts), np.maximum.reduceat(sids, starts)
         run = np.cumsum(first) - 1
-        met = np.concatenate((met, sids[(low < high)[run]]))
-    return pa.table({"sid": pa.array(np.unique(met), pa.int64())})
+        common = (np.minimum.reduceat(sids, starts) < np.maximum.reduceat(sids, starts)) | np.logical_or.reduceat(several, starts)
+        more = sids[common[run] & ~several]  # the others were counted where they met
+    node = np.concatenate((column("met", "<i8"), more))
+    times = np.concatenate((column("times", "<i8"), np.ones(len(more), np.int64)))
+    sid, at = np.unique(node, return_inverse=True)
+    return pa.table({"sid": pa.array(sid, pa.int64()), "times": pa.array(np.bincount(at, times, len(sid)).astype(np.int64))})
 
 
 def _folded(rows: list[bytes], slots: int) -> np.ndarray:
@@ -288,9 +302,8 @@ def candidate_pairs(nodes: DataFrame, percent: int, block_rows: int, every: bool
     placed = placed.select("sid", "n", "bits", "label", F.explode(F.concat(own, up, down)).alias("_t")).select("sid", "n", "bits", "label", "_t.tile", "_t.side")
     found = placed.groupBy("tile").applyInArrow(_tile(percent, every), "a long, b long, bound double, kind int")
     if not every:
-        low = found.filter("kind = 0").groupBy("a").agg(F.min("b").alias("b"))
-        near = found.filter("kind = 1").groupBy("a").agg(F.max_by("b", "bound").alias("b"))
-        found = low.unionByName(near)
+        best = found.groupBy("a").agg(F.min(F.when(F.col("kind") == 0, F.col("b"))).alias("_low"), F.max_by("b", "bound").alias("_near"))
+        found = best.select("a", F.explode(F.array("_low", "_near")).alias("b"))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -353,10 +366,12 @@ def jaccard_components(documents: DataFrame, percent: int = 80, block_rows: int
     docs = documents.select("doc_id", "text")
     signed = persisted(docs.mapInArrow(_signatures, "doc_id long, n long, sid long, bits binary"), "signatures")
     full = signed.filter("n > 0")
-    shared = docs.select("text").mapInArrow(_keys(4 * partitions(spark), percent), "bucket int, keys binary, sids binary, met binary")
-    active = shared.groupBy("bucket").applyInArrow(_partnered, "sid long").distinct()
+    shared = docs.select("text").mapInArrow(_keys(4 * partitions(spark), percent), KEYS_DDL)
+    shared = shared.groupBy("bucket").applyInArrow(_shared, "sid long, times long").groupBy("sid").agg(F.sum("times").alias("times"))
     nodes = full.groupBy("sid").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min("bits").alias("bits"))
-    nodes = persisted(nodes.join(active, "sid"), "nodes")
+    # The least spare of any set that could be a partner.
+    least = F.floor(F.ceil(F.col("n") * percent / 100) * (100 - percent) / 200)
+    nodes = persisted(nodes.join(shared, "sid").filter(F.col("times") > least).drop("times"), "nodes")
 
     links, tested = None, None
     labels = nodes.withColumn("label", F.col("sid"))
