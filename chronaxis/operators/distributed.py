@@ -15,21 +15,30 @@ from pyspark.sql import functions as F
 
 CHUNK = 4096
 
-# Largest group a single task may sort.  Group sizes are counted before each
-# ordering; beyond the limit the chunked and binned forms take over.
-GROUP_LIMIT = 1 << 16
-
-
-def bounded(df: DataFrame, keys: Sequence[str]) -> bool:
-    """True when no key owns more than GROUP_LIMIT rows (one map-side-combined count)."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    return sizes.filter(F.col("_size") > GROUP_LIMIT).isEmpty()
+LAST_BIN = (1 << 63) - 1
 
 
 def _cols(names: Sequence[str]) -> list[Column]:
     return [F.col(n) for n in names]
 
 
+def _matched(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join on columns whose nulls and NaNs equal themselves; keeps the left copies."""
+    other = right.select(*[F.col(c).alias(f"_j_{c}") if c in on else F.col(c) for c in right.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_j_{c}")) for c in on]
+    if not same:
+        return left.crossJoin(other)  # keyless totals: one row
+    cond = same[0]
+    for s in same[1:]:
+        cond = cond & s
+    return left.join(other, cond).drop(*[f"_j_{c}" for c in on])
+
+
+def _bin(x: Column, width: float) -> Column:
+    """Value bin that keeps the order of the values: nulls in the null bin, NaN with the largest."""
+    return F.when(F.isnan(x), F.lit(LAST_BIN)).otherwise(F.floor(x / F.lit(width)))
+
+
 def prefix_offsets(counts: DataFrame, keys: Sequence[str], bucket: str, amount: str, out: str) -> DataFrame:
     """Exclusive running sum of ``amount`` over the buckets of each key.
 
@@ -52,16 +61,12 @@ def positions(
     an id range).  Rows are ranked inside (key, bucket) and shifted by the size
     of the earlier buckets, which is the same number ``row_number`` gives.
     """
-    if bounded(df, keys):
-        row = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        return df.withColumn(out, (row - 1).cast("long"))
     rows = df.withColumn("_b", bucket)
     local = Window.partitionBy(*keys, "_b").orderBy(*order)
     sizes = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     shift = prefix_offsets(sizes, keys, "_b", "_n", "_off").drop("_n")
     return (
-        rows.withColumn("_r", F.row_number().over(local))
-        .join(shift, [*keys, "_b"])
+        _matched(rows.withColumn("_r", F.row_number().over(local)), shift, [*keys, "_b"])
         .withColumn(out, (F.col("_off") + F.col("_r") - 1).cast("long"))
         .drop("_b", "_r", "_off")
     )
@@ -74,8 +79,6 @@ def dense_index(ids: DataFrame, column: str, bucket: Column, out: str = "idx") -
     sees one row per 4096 buckets.
     """
     unique = ids.select(column).distinct()
-    if bounded(unique, []):
-        return unique.select(column, (F.row_number().over(Window.orderBy(column)) - 1).cast("long").alias(out))
     rows = unique.withColumn("_b", bucket)
     sizes = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     if dict(sizes.dtypes)["_b"] in ("bigint", "int"):
@@ -83,13 +86,12 @@ def dense_index(ids: DataFrame, column: str, bucket: Column, out: str = "idx") -
         supers = sizes.groupBy("_s").agg(F.sum("_n").alias("_sn"))
         supers = prefix_offsets(supers, [], "_s", "_sn", "_soff").drop("_sn")
         inner = prefix_offsets(sizes, ["_s"], "_b", "_n", "_ioff")
-        shift = inner.join(supers, "_s").select("_b", (F.col("_ioff") + F.col("_soff")).alias("_off"))
+        shift = _matched(inner, supers, ["_s"]).select("_b", (F.col("_ioff") + F.col("_soff")).alias("_off"))
     else:
         shift = prefix_offsets(sizes, [], "_b", "_n", "_off").select("_b", "_off")
     local = Window.partitionBy("_b").orderBy(column)
     return (
-        rows.withColumn("_r", F.row_number().over(local))
-        .join(shift, "_b")
+        _matched(rows.withColumn("_r", F.row_number().over(local)), shift, ["_b"])
         .select(column, (F.col("_off") + F.col("_r") - 1).cast("long").alias(out))
     )
 
@@ -153,7 +155,7 @@ def running(
     local = Window.partitionBy(*keys, "_c").orderBy(pos).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1
     )
-    both = rows.withColumn("_l", agg("_x").over(local)).join(carry, [*keys, "_c"])
+    both = _matched(rows.withColumn("_l", agg("_x").over(local)), carry, [*keys, "_c"])
     if how == "sum":
         merged = F.coalesce(F.col("_l"), F.lit(0)) + F.coalesce(F.col("_carry"), F.lit(0))
     else:
@@ -175,14 +177,8 @@ def order_statistics(
     Only the bins that hold a wanted rank are opened, so a key is never
     gathered whole: a task sees one bin of distinct values.
     """
-    if bounded(df, keys):
-        sorted_all = df.groupBy(*keys).agg(F.sort_array(F.collect_list(value.cast("double"))).alias("_s"))
-        sized = sorted_all.withColumn(total, F.size("_s").cast("long")).filter(F.col(total) > 0)
-        at = [F.element_at("_s", (F.greatest(F.lit(0), F.least(rank(F.col(total)), F.col(total) - 1)) + 1).cast("int")).alias(name)
-              for name, rank in ranks.items()]
-        return sized.select(*keys, total, *at)
     counted = df.groupBy(*keys, value.cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_cnt"))
-    counted = counted.filter(F.col("_x").isNotNull()).withColumn("_b", F.floor(F.col("_x") / F.lit(width)))
+    counted = counted.filter(F.col("_x").isNotNull()).withColumn("_b", _bin(F.col("_x"), width))
     bins = counted.groupBy(*keys, "_b").agg(F.sum("_cnt").alias("_bn"))
     bins = prefix_offsets(bins, keys, "_b", "_bn", "_before")
     bins = bins.withColumn(total, F.sum("_bn").over(Window.partitionBy(*keys)))
@@ -195,7 +191,7 @@ def order_statistics(
         wanted = wanted | ((F.col("_before") <= k) & (F.col("_before") + F.col("_bn") > k))
     open_bins = bins.filter(wanted).drop("_bn")
     inside = Window.partitionBy(*keys, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
-    opened = counted.join(open_bins, [*keys, "_b"]).withColumn(
+    opened = _matched(counted, open_bins, [*keys, "_b"]).withColumn(
         "_from", F.col("_before") + F.coalesce(F.sum("_cnt").over(inside), F.lit(0))
     )
     picks = [F.max(total).alias(total)]
@@ -262,7 +258,7 @@ def leave_one_out_medians(df: DataFrame, keys: Sequence[str], value: str, out: s
     low = F.when(x > F.col("_a0"), F.col("_a0")).otherwise(F.col("_a1"))
     high = F.when(x > F.col("_b0"), F.col("_b0")).otherwise(F.col("_b1"))
     return (
-        df.join(mid, list(keys))
+        _matched(df, mid, list(keys))
         .withColumn(out, F.when(F.col("_n") > 1, (low + high) / 2))
         .drop("_a0", "_a1", "_b0", "_b1", "_n")
     )
@@ -285,15 +281,7 @@ def ranked(
     its own bin when an ordinal rank is asked for.
     """
     sign = -1 if descending else 1
-    if bounded(df, keys):
-        out = df.withColumn("_x", value.cast("double") * sign)
-        if average:
-            tied = F.count(F.lit(1)).over(Window.partitionBy(*keys, "_x"))
-            out = out.withColumn(average, F.rank().over(Window.partitionBy(*keys).orderBy("_x")) + (tied - 1) / 2)
-        if ordinal:
-            out = out.withColumn(ordinal, F.row_number().over(Window.partitionBy(*keys).orderBy("_x", *ties)).cast("long"))
-        return out.drop("_x")
-    rows = df.withColumn("_x", value.cast("double") * sign).withColumn("_b", F.floor(F.col("_x") / F.lit(width)))
+    rows = df.withColumn("_x", value.cast("double") * sign).withColumn("_b", _bin(F.col("_x"), width))
     out = rows
     if average:
         counted = rows.groupBy(*keys, "_b", "_x").agg(F.count(F.lit(1)).alias("_n"))
@@ -301,18 +289,17 @@ def ranked(
         bins = prefix_offsets(bins, keys, "_b", "_bn", "_before").drop("_bn")
         inside = Window.partitionBy(*keys, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
         avg = (
-            counted.join(bins, [*keys, "_b"])
+            _matched(counted, bins, [*keys, "_b"])
             .withColumn("_from", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
             .select(*keys, "_x", (F.col("_from") + (F.col("_n") + 1) / 2).alias(average))
         )
-        out = out.join(avg, [*keys, "_x"])
+        out = _matched(out, avg, [*keys, "_x"])
     if ordinal:
         sizes = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_bn"))
         shift = prefix_offsets(sizes, keys, "_b", "_bn", "_before").drop("_bn")
         local = Window.partitionBy(*keys, "_b").orderBy("_x", *ties)
         out = (
-            out.withColumn("_r", F.row_number().over(local))
-            .join(shift, [*keys, "_b"])
+            _matched(out.withColumn("_r", F.row_number().over(local)), shift, [*keys, "_b"])
             .withColumn(ordinal, (F.col("_before") + F.col("_r")).cast("long"))
             .drop("_r", "_before")
         )

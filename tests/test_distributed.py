@@ -12,12 +12,6 @@ from chronaxis.operators import priors as P
 from chronaxis.operators import windows as Wn
 
 
-@pytest.fixture(params=["small groups", "hot groups"], autouse=True)
-def group_limit(request, monkeypatch):
-    """Run everything through the one-task forms and through the chunked forms."""
-    monkeypatch.setattr(D, "GROUP_LIMIT", 1 << 16 if request.param == "small groups" else 0)
-
-
 @pytest.fixture(scope="module")
 def skewed(spark):
     rng = np.random.default_rng(5)
@@ -140,3 +134,28 @@ def test_mean_distance_without_pairs(spark):
     got = Dn.mean_distance(spark.createDataFrame(q), spark.createDataFrame(p), ["g"], "at", "o").toPandas().set_index("i")
     for _, r in q.iterrows():
         assert got.loc[r.i, "distance"] == pytest.approx(np.abs(p[p.g == r.g].o - r["at"]).mean())
+
+
+def test_null_keys_nulls_and_nan_equal_duckdb(spark):
+    """Null keys are groups, nulls rank first, NaN is the largest value; ties and a tiny range of values included."""
+    import duckdb
+    rows = [(k, i, v) for i, (k, v) in enumerate(
+        [("a", 1.0), ("a", 5.0), ("a", float("nan")), ("a", None), (None, 2.0), (None, 2.0), (None, float("inf")), (None, float("nan")), ("b", None)]
+        + [("t", 3.0)] * 50 + [("s", j * 1e-9) for j in range(20)] + [("n", -float("inf")), ("n", -1.0)])]
+    df = spark.createDataFrame(rows, "k string, t long, x double").repartition(4)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE r (k VARCHAR, t BIGINT, x DOUBLE)")
+    con.executemany("INSERT INTO r VALUES (?, ?, ?)", rows)
+    plain = lambda rs: sorted(str(tuple(r)) for r in rs)
+    ranks = D.ranked(df, ["k"], F.col("x"), ["t"], average="mean").select("k", "t", F.col("rank").cast("long"), "mean").collect()
+    want = con.execute("""SELECT k, t, row_number() OVER (PARTITION BY k ORDER BY x NULLS FIRST, t),
+        rank() OVER (PARTITION BY k ORDER BY x NULLS FIRST) + (count(*) OVER (PARTITION BY k, x) - 1) / 2 FROM r""").fetchall()
+    assert plain(ranks) == plain(want)
+    places = D.positions(df, ["k"], ["x", "t"], F.floor(F.col("x") * 0)).select("k", "t", F.col("t")).count()
+    assert places == len(rows)
+    middle = D.order_statistics(df, ["k"], F.col("x"), {"m": lambda n: F.floor((n - 1) / 2)}).select("k", "n", "m").collect()
+    want = con.execute("""SELECT k, count(*), max(x) FILTER (WHERE p = (n - 1) // 2) FROM (
+        SELECT k, x, row_number() OVER (PARTITION BY k ORDER BY x) - 1 AS p, count(*) OVER (PARTITION BY k) AS n FROM r WHERE x IS NOT NULL) GROUP BY k""").fetchall()
+    assert plain(middle) == plain(want)
+    ids = D.dense_index(df.select("k"), "k", F.substring("k", 1, 1)).collect()
+    assert sorted((r["k"] or "", r["idx"]) for r in ids) == [("", 0), ("a", 1), ("b", 2), ("n", 3), ("s", 4), ("t", 5)]

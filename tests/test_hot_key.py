@@ -9,7 +9,6 @@ import pytest
 
 import __spark_entry__ as entry
 from chronaxis.operators import align as Al
-from chronaxis.operators import distributed as D
 from tools.check import norm
 
 QUERIES = ["src1_trace_index", "ag2_median_and_mad", "jn4_leave_one_out", "jn5_anchor_neighbours", "wn5_robust_z", "wn6_event_mask", "wn12_causal_ema", "wn14_monotone_projection",
@@ -33,7 +32,6 @@ def hot_dir(tmp_path_factory):
 
 @pytest.fixture(autouse=True)
 def small_limits(monkeypatch):
-    monkeypatch.setattr(D, "GROUP_LIMIT", 40)
     monkeypatch.setattr(Al, "LONG", 64)
 
 
