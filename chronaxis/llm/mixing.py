@@ -61,6 +61,7 @@ class Contrast:
     posterior: list[float]
 
     def level(self, tokens: Column) -> Column:
+        """Level of summed weight, from 0."""
         if not self.words:
             return F.lit(0)
         table = F.create_map(*[F.lit(x) for pair in zip(self.words, self.weights) for x in pair])
@@ -68,9 +69,6 @@ class Contrast:
         score = F.aggregate(met, F.lit(0.0), lambda total, word: total + F.try_element_at(table, word))
         return F.least(F.lit(LEVELS - 1), F.floor(score)).cast("int")
 
-    def chance(self, tokens: Column) -> Column:
-        return F.element_at(F.array(*map(F.lit, self.posterior)), self.level(tokens) + 1)
-
 
 @dataclass
 class Classifier:
@@ -79,8 +77,13 @@ class Classifier:
     toxic: Contrast
     low: Contrast
 
-    def posteriors(self, tokens: Column) -> dict[str, Column]:
-        toxic, low = self.toxic.chance(tokens), self.low.chance(tokens)
+    def member_class(self, tokens: Column) -> Column:
+        """Both levels as one number below LEVELS squared; texts of one class share all posteriors."""
+        return self.toxic.level(tokens) * LEVELS + self.low.level(tokens)
+
+    def posteriors(self, member: Column) -> dict[str, Column]:
+        toxic = F.element_at(F.array(*map(F.lit, self.toxic.posterior)), (member / LEVELS).cast("int") + 1)
+        low = F.element_at(F.array(*map(F.lit, self.low.posterior)), member % LEVELS + 1)
         return {"good": (1 - toxic) * (1 - low), "low": (1 - toxic) * low, "toxic": toxic}
 
 
@@ -137,44 +140,56 @@ def _rising(points: list[tuple[float, float]]) -> list[float]:
     return [m for m, _, k in pools for _ in range(int(k))]
 
 
-def with_posteriors(documents: DataFrame, model: Classifier, carry: bool = False) -> DataFrame:
-    """doc_id, n_tokens and one column p_<domain> per domain, summing to 1 (with ``carry`` also ``row``)."""
+def classed(documents: DataFrame, model: Classifier, carry: bool = False) -> DataFrame:
+    """doc_id, n_tokens and class (with ``carry`` also ``row``)."""
     docs = marked(documents, carry)
-    chances = model.posteriors(F.col("tokens"))
-    return docs.select("doc_id", "n_tokens", *(["row"] if carry else []), *[chances[d].alias(f"p_{d}") for d in DOMAINS])
+    return docs.select("doc_id", "n_tokens", *(["row"] if carry else []), model.member_class(F.col("tokens")).alias("class"))
 
 
-def fitted_rates(members: DataFrame, targets: dict[str, float] | None, tolerance: float = 1e-4, steps: int = 40) -> Column:
-    """The rate of every row as an expression over p_<domain>.
+def fitted_rates(members: DataFrame, model: Classifier, targets: dict[str, float] | None, tolerance: float = 1e-4, steps: int = 40) -> list[float]:
+    """The rate of every class, by projected gradient over the distributed token totals.
 
     Minimises the squared misses of the domains' expected token totals, each
     relative to the domain's present total, over nonnegative rates, from rate 1
     everywhere.  Scaled this way the step size is 1 and sharp posteriors need
-    few steps.  ``targets`` are shares of the present token total; None keeps
-    every domain's present share but drops ``toxic``.
+    few steps.  Documents of one class have one gradient per token and so one
+    rate; their tokens are summed once, before the steps.  ``targets`` are
+    shares of the present token total; None keeps every domain's present share
+    but drops ``toxic``.
     """
+    classes = members.groupBy("class").agg(F.sum("n_tokens").alias("n"))
+    parts = model.posteriors(F.col("class"))
+    # At most LEVELS squared rows.
+    classes = persisted(classes.select("class", "n", *[parts[d].alias(f"p_{d}") for d in DOMAINS]).coalesce(1), "mixing-classes")
+    rows = members.sparkSession.range(LEVELS * LEVELS).select(F.col("id").cast("int").alias("class"))
+
     def sums(rate: Column) -> list[float]:
-        row = members.agg(*[F.sum(rate * F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in DOMAINS]).first()
+        row = classes.agg(*[F.sum(rate * F.col("n") * F.col(f"p_{d}")).alias(d) for d in DOMAINS]).first()
         return [row[d] or 0.0 for d in DOMAINS]
 
-    rate = F.lit(1.0)
-    present = sums(rate)
+    def rate_after(moves: list[list[float]], parts: dict[str, Column]) -> Column:
+        if not moves:
+            return F.lit(1.0)
+        path = F.array(*[F.array(*map(F.lit, m)) for m in moves])
+        return F.aggregate(path, F.lit(1.0), lambda rate, move: F.greatest(
+            F.lit(0.0), rate - sum(F.element_at(move, i + 1) * parts[d] for i, d in enumerate(DOMAINS))))
+
+    own = {d: F.col(f"p_{d}") for d in DOMAINS}
+    moves: list[list[float]] = []
+    present = now = sums(F.lit(1.0))
     total = sum(present)
-    if total <= 0:
-        return rate
     if targets is None:
         wanted = [0.0 if d == "toxic" else present[i] for i, d in enumerate(DOMAINS)]
     else:
         wanted = [targets[d] * total for d in DOMAINS]
-    now = present
-    for _ in range(steps):
+    while total > 0 and len(moves) < steps:
         miss = [(n - w) / p if p > 0 else 0.0 for n, w, p in zip(now, wanted, present)]
         if max(abs(m) for m in miss) < tolerance:
             break
-        move = sum(F.lit(m) * F.col(f"p_{d}") for m, d in zip(miss, DOMAINS))
-        rate = F.greatest(F.lit(0.0), rate - move)
-        now = sums(rate)
-    return rate
+        moves.append(miss)
+        now = sums(rate_after(moves, own))
+    fitted = rows.select("class", rate_after(moves, model.posteriors(F.col("class"))).alias("rate")).collect()
+    return [r["rate"] for r in sorted(fitted)]
 
 
 def mixed(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None, fit_rows: int = 20000) -> DataFrame:
@@ -182,14 +197,17 @@ def mixed(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | N
 
     ``copies`` rounds the rate up or down by a hash of the id, so that its
     expectation is the rate.  A text without words has no tokens and so no part
-    in the totals; its rate follows from the prior.  Without any label every
-    domain is equally likely and all rates are alike.  Repeated rows and null
-    ids are rows of their own; other columns are not carried.
+    in the totals; its rate follows from its class.  Without any label every
+    rate is alike.  Repeated rows and null ids are rows of their own; other
+    columns are not carried.
     """
-    members = persisted(with_posteriors(documents, fit(documents, labels, fit_rows)), "mixing-members")
-    rate = fitted_rates(members, targets)
+    model = fit(documents, labels, fit_rows)
+    members = persisted(classed(documents, model), "mixing-members")
+    rates = fitted_rates(members, model, targets)
+    parts = model.posteriors(F.col("class"))
     draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(29)), F.lit(1 << 30)) / (1 << 30)
-    return members.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + draw).cast("long"))
+    rate = F.element_at(F.array(*map(F.lit, rates)), F.col("class") + 1)
+    return members.select("doc_id", "n_tokens", *[parts[d].alias(f"p_{d}") for d in DOMAINS], rate.alias("rate"), F.floor(rate + draw).cast("long").alias("copies"))
 
 
 def mixture(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None, fit_rows: int = 20000) -> DataFrame:
@@ -198,6 +216,7 @@ def mixture(documents: DataFrame, labels: DataFrame, targets: dict[str, float] |
     Rounding to the nearest keeps every row whose rate is above one half.
     """
     model = fit(documents, labels, fit_rows)
-    rate = fitted_rates(persisted(with_posteriors(documents, model), "mixing-members"), targets)
-    rows = with_posteriors(documents, model, carry=True).withColumn("_n", F.floor(rate + F.lit(0.5)).cast("int"))
-    return rows.filter("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("row.*")
+    rates = fitted_rates(persisted(classed(documents, model), "mixing-members"), model, targets)
+    copies = F.element_at(F.array(*[F.lit(int(r + 0.5)) for r in rates]), F.col("class") + 1)
+    rows = classed(documents, model, carry=True).select("row", F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>")).alias("_n"))
+    return rows.select("row", F.explode("_n")).select("row.*")
