@@ -26,12 +26,13 @@ class Transform:
     count: int          # strings, which is also the number of rows for bare terminators
 
 
-def _ranks(keys: np.ndarray) -> np.ndarray:
+def _ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order of the keys, and the rank of each."""
     order = np.argsort(keys, kind="stable")
     up = keys[order]
-    out = np.empty(len(keys), np.int64)
-    out[order] = np.cumsum(np.r_[0, up[1:] != up[:-1]])
-    return out
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = np.cumsum(np.r_[0, up[1:] != up[:-1]]) if len(up) else 0
+    return order, rank
 
 
 def transform(rows: np.ndarray, sizes: np.ndarray) -> Transform:
@@ -49,16 +50,18 @@ def transform(rows: np.ndarray, sizes: np.ndarray) -> Transform:
     string = np.repeat(np.arange(count), lengths)
     start = np.arange(total) - begins[string]
     remaining = lengths[string] - start  # with the terminator
-    # Sort by doubled prefixes; past a terminator nothing counts.
-    rank = text.astype(np.int64)
-    reach = 1
+    # Sort by doubled prefixes, from four characters on; past a terminator nothing counts.
+    rank = np.zeros(total, np.int64)
+    for k in range(min(4, total)):
+        rank[:total - k] |= np.where(remaining[:total - k] > k, text[k:], 0).astype(np.int64) << (24 - 8 * k)
+    order, rank = _ordered(rank)  # equal suffixes stay in string order
+    reach = 4
     while reach < lengths.max(initial=1):
         further = np.zeros(total, np.int64)
         further[:max(total - reach, 0)] = rank[reach:] + 1
         further[remaining <= reach] = 0
-        rank = _ranks(rank * (total + 300) + further)
+        order, rank = _ordered(rank * (total + 1) + further)
         reach *= 2
-    order = np.argsort(rank, kind="stable")  # equal suffixes stay in string order
     row_of = np.empty(total, np.int64)
     row_of[order] = np.arange(total)
     whole = start[order] == 0

@@ -33,10 +33,10 @@ LENGTH = 50
 GRAM = 24
 SPAN = LENGTH - GRAM + 1       # grams of a window
 WIDTH = 80                     # a run's string has at most LENGTH + SPAN - 1 = 76 bytes
-CHUNK_BYTES = 8 << 20
-BLOCK = 1 << 20
+CHUNK_BYTES = 2 << 20
+BLOCK = 1 << 16
 HOT = 4096                     # documents of a key beyond which its windows are dealt one by one
-BATCH = 4096                   # strings of one merge
+BATCH = 2048                   # strings of one merge
 SHARDS = 8
 LAST_ID = np.iinfo(np.int64).max  # stands for a null id: smaller than none
 
@@ -336,7 +336,7 @@ def removed_bytes(chunk: Chunk, asked: Wanted, answers: list[dict]) -> np.ndarra
         value = np.frombuffer(raw[8 + n + total:], "<i8")
         best[at[strings.start]:at[strings.start] + int(windows[strings].sum())] = np.repeat(value, length)
     # Windows of every occurrence, and whether a smaller document holds them.
-    step = np.zeros(len(chunk.text) + LENGTH + 1, np.int32)
+    step = np.zeros(len(chunk.text) + LENGTH + 1, np.int64)
     for begin in range(0, len(asked.start), 1 << 16):
         part = slice(begin, begin + (1 << 16))
         n = asked.count[part]
@@ -344,8 +344,11 @@ def removed_bytes(chunk: Chunk, asked: Wanted, answers: list[dict]) -> np.ndarra
         smallest = best[np.repeat(at[asked.which[part]], n) + offset]
         taken = smallest < np.repeat(chunk.ids[asked.doc[part]], n)
         first = (np.repeat(asked.start[part], n) + offset)[taken]
-        np.add.at(step, first, 1)
-        np.add.at(step, first + LENGTH, -1)
+        if len(first):
+            low = first.min()
+            ends = np.bincount(first - low)
+            step[low:low + len(ends)] += ends
+            step[low + LENGTH:low + LENGTH + len(ends)] -= ends
     return np.cumsum(step)[:len(chunk.text)] > 0
 
 
