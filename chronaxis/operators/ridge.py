@@ -18,22 +18,19 @@ from pyspark.sql import functions as F
 def moments(df: DataFrame, keys: Sequence[str], columns: Sequence[str], weight: str | None = None) -> DataFrame:
     """(keys.., m_c, s_c): mean and population std per column, std floored at 1e-6."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    means = df.groupBy(*keys) if keys else df.groupBy()
-    g = means.agg(*[(F.sum(w * F.col(c)) / F.sum(w)).alias(f"m_{c}") for c in columns],
-                  *([F.stddev_pop(c).alias(f"p_{c}") for c in columns] if not weight else []))
-    if not weight:
-        return g.select(*keys, *[F.col(f"m_{c}") for c in columns], *[F.greatest(F.col(f"p_{c}"), F.lit(1e-6)).alias(f"s_{c}") for c in columns])
-    back = with_keys(df, g, keys)
-    v = (back.groupBy(*keys) if keys else back.groupBy()).agg(*[
-        F.greatest(F.sqrt(F.sum(w * (F.col(c) - F.col(f"m_{c}")) ** 2) / F.sum(w)), F.lit(1e-6)).alias(f"s_{c}") for c in columns])
-    return g.join(v, list(keys)) if keys else g.join(v)
+    g = (df.groupBy(*keys) if keys else df.groupBy()).agg(
+        *[(F.sum(w * F.col(c)) / F.sum(w)).alias(f"m_{c}") for c in columns],
+        *[(F.stddev_pop(c) if not weight else F.sqrt(F.greatest(F.lit(0.0), F.sum(w * F.col(c) ** 2) / F.sum(w) - (F.sum(w * F.col(c)) / F.sum(w)) ** 2))).alias(f"p_{c}")
+          for c in columns])
+    return g.select(*keys, *[F.col(f"m_{c}") for c in columns], *[F.greatest(F.col(f"p_{c}"), F.lit(1e-6)).alias(f"s_{c}") for c in columns])
 
 
 def with_keys(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Attach a one-row-per-key table; without keys it is a single row read as scalars."""
     if keys:
         return df.join(small, list(keys))
-    return df.select("*", *[small.select(c).scalar().alias(c) for c in small.columns])
+    row = small.select(F.struct("*").alias("_row")).scalar()
+    return df.withColumn("_row", row).select(*df.columns, "_row.*")
 
 
 def standardized(df: DataFrame, stats: DataFrame, keys: Sequence[str], columns: Sequence[str], clip: float | None = 8.0) -> DataFrame:

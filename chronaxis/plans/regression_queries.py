@@ -26,30 +26,33 @@ ALPHAS = (0.1, 1.0, 10.0, 100.0)
 
 
 def lines(spark, sf):
-    l = read(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", *[F.col(c).cast("double").alias(c) for c in X[:4]],
-                                           F.month("l_shipdate").cast("double").alias("month"), (F.col("l_extendedprice") / 10000).alias("y"))
-    return l.withColumn("k", F.lit(0).cast("long"))
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", *[F.col(c).cast("double").alias(c) for c in X[:4]],
+                                              F.month("l_shipdate").cast("double").alias("month"), (F.col("l_extendedprice") / 10000).alias("y"))
+
+
+def centred(df, columns, target, weight=None, clip=8.0):
+    """One model over all rows: adds ``z`` (standardized features) and ``y_mean``; the statistics are one row of scalars, so nothing is joined."""
+    stats = R.moments(df, [], [*columns, target], weight)
+    z = R.standardized(df, stats, [], columns, clip)
+    return z.withColumnRenamed(f"m_{target}", "y_mean").drop(f"s_{target}")
 
 
 def fit(df, key, columns, target, alphas, weight=None, clip=8.0):
-    """Standardized ridge path per key: (key, alpha, i, beta), feature stats and target mean."""
-    stats = R.moments(df, [key], columns, weight)
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    ym = df.groupBy(key).agg((F.sum(w * F.col(target)) / F.sum(w)).alias("y_mean"))
-    z = R.standardized(df, stats, [key], columns, clip).join(ym, key)
-    g = R.gram(z, key, "z", F.col(target) - F.col("y_mean"), w)
-    return R.ridge_path(g, key, alphas), stats, ym
+    """Standardized ridge path over all rows (key, alpha, i, beta; the key is 0), and the rows with z and y_mean."""
+    w = F.col(weight).cast("double") if weight else None
+    z = centred(df, columns, target, weight, clip).withColumn(key, F.lit(0).cast("long"))
+    return R.ridge_path(R.gram(z, key, "z", F.col(target) - F.col("y_mean"), w), key, alphas), z
 
 
 @query("rg1_standardized_ridge")
 def _(spark, sf):
-    path, _s, _y = fit(lines(spark, sf), "k", X, "y", (10.0,))
+    path, _z = fit(lines(spark, sf), "k", X, "y", (10.0,))
     return path.select("i", r6("beta"))
 
 
 @query("rg2_ridge_path")
 def _(spark, sf):
-    path, _s, _y = fit(lines(spark, sf), "k", X, "y", ALPHAS)
+    path, _z = fit(lines(spark, sf), "k", X, "y", ALPHAS)
     return path.select("alpha", "i", r6("beta"))
 
 
@@ -61,7 +64,7 @@ def _(spark, sf):
     s = n.agg(F.count(F.lit(1)).alias("s"))
     # supplier-macro weights, rescaled to mean 1
     w = l.join(n, "l_suppkey").withColumn("w", tot.scalar() / (s.scalar() * F.col("n")))
-    path, _s, _y = fit(w, "k", X, "y", ALPHAS, "w")
+    path, _z = fit(w, "k", X, "y", ALPHAS, "w")
     return path.select("alpha", "i", r6("beta"))
 
 
@@ -239,17 +242,15 @@ def geometry(spark, sf):
     return written(spark, "geometry", sf, build)
 
 
-def residualize(df, key, columns, alphas=(0.0,)):
-    path, stats, ym = fit(df, key, columns, "y", alphas, clip=None)
-    b = R.coefficients(path, key)
-    z = R.standardized(df, stats, [key], columns, None).join(ym, key).join(b, key)
+def residualize(df, columns, alphas=(0.0,)):
+    path, z = fit(df, "k", columns, "y", alphas, clip=None)
+    z = R.with_keys(z, R.coefficients(path, "k").select("beta"), [])
     return z.withColumn("rest", F.col("y") - F.col("y_mean") - R.dot("z", "beta"))
 
 
 @query("rg7_fixed_effect_residuals")
 def _(spark, sf):
-    g = geometry(spark, sf).withColumn("k", F.lit(0).cast("long"))
-    return residualize(g, "k", GEO).select("subject", "video", r6("rest"))
+    return residualize(geometry(spark, sf), GEO).select("subject", "video", r6("rest"))
 
 
 def crossfit(spark, sf, columns=GEO):
@@ -265,8 +266,7 @@ def _(spark, sf):
 
 @query("rg9_variance_inflation")
 def _(spark, sf):
-    g = geometry(spark, sf).withColumn("k", F.lit(0).cast("long"))
-    z = R.standardized(g, R.moments(g, ["k"], GEO), ["k"], GEO, None)
+    z = centred(geometry(spark, sf), GEO, "y", clip=None).withColumn("k", F.lit(0).cast("long"))
     return R.inflation(R.gram(z, "k", "z", F.col("y")), "k").select("i", r6("vif"))
 
 

@@ -322,8 +322,7 @@ def route_audit(spark, sf):
 
 @query("uf3_trace_table_function", WD + "SELECT rule_id, count(*) AS matched FROM (" + _TRACE + ") WHERE matched GROUP BY rule_id")
 def _(spark, sf):
-    R.trace(routes(spark, sf)).createOrReplaceTempView("route_trace")
-    return spark.sql("SELECT rule_id, count(*) AS matched FROM route_trace WHERE matched GROUP BY rule_id")
+    return spark.sql("SELECT rule_id, count(*) AS matched FROM {trace} WHERE matched GROUP BY rule_id", trace=R.trace(routes(spark, sf)))
 
 
 @query("bs16_order_invariance", WD + """SELECT count(*) AS routes, CAST(0 AS BIGINT) AS differing FROM decided""")

@@ -21,9 +21,21 @@ from ..sources.tables import schema
 DELAY = "1 hour"
 
 
-def event_stream(spark: SparkSession, folder: str, per_trigger: int = 1, glob: str = "events*.parquet") -> DataFrame:
-    """Trial events as a stream; NTZ timestamps become UTC timestamps for the watermark."""
-    raw = spark.readStream.schema(schema("events")).option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", glob).parquet(folder)
+END = "2200-01-01 00:00:00"  # later than any event; never emitted itself
+
+
+def event_stream(spark: SparkSession, folder: str, per_trigger: int = 1, glob: str = "events*.parquet", closing: str | None = None) -> DataFrame:
+    """Trial events as a stream; NTZ timestamps become UTC timestamps for the watermark.
+
+    ``closing`` names a second folder, empty until :func:`drain` puts an end
+    mark there, which moves the watermark past every event.
+    """
+    def source(path: str, pattern: str) -> DataFrame:
+        return spark.readStream.schema(schema("events")).option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", pattern).parquet(path)
+
+    raw = source(folder, glob)
+    if closing:
+        raw = raw.unionByName(source(closing, "*.parquet"))
     return raw.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("subject"), F.col("event_type").alias("video"),
                       P.clip(F.col("value")).alias("x"))
 
@@ -116,10 +128,24 @@ def gated_residual(events: DataFrame, prior: DataFrame, gate: float, cap: float)
     return j.select("event_id", "subject", "video", "x", P.clip(F.col("prior") + step).alias("corrected"))
 
 
-def drain(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Run the stream over everything available, then read the sink back."""
-    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    if q.exception():
-        raise RuntimeError(str(q.exception()))
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+def drain(stream: DataFrame, path: str, checkpoint: str, closing: str | None = None) -> DataFrame:
+    """Run the stream over everything available, then read the sink back.
+
+    With ``closing`` the same query runs once more after an end mark was put
+    into that folder, so rows, windows and sessions still open are emitted.
+    """
+    spark = stream.sparkSession
+
+    def pass_over() -> None:
+        q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        if q.exception():
+            raise RuntimeError(str(q.exception()))
+
+    pass_over()
+    if closing:
+        events = schema("events")
+        mark = spark.range(1).select(*[F.lit(END if f.name == "ts" else "-1").cast(f.dataType).alias(f.name) for f in events.fields])
+        mark.write.mode("append").parquet(closing)
+        pass_over()
+    return spark.read.schema(stream.schema).parquet(path)
