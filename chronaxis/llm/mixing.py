@@ -216,7 +216,9 @@ def mixture(documents: DataFrame, labels: DataFrame, targets: dict[str, float] |
     Rounding to the nearest keeps every row whose rate is above one half.
     """
     model = fit(documents, labels, fit_rows)
-    rates = fitted_rates(persisted(classed(documents, model), "mixing-members"), model, targets)
+    # Written with their class, so the texts are classified once and the sums read two columns.
+    rows = persisted(classed(documents, model, carry=True), "mixing-rows")
+    rates = fitted_rates(rows.select("n_tokens", "class"), model, targets)
     copies = F.element_at(F.array(*[F.lit(int(r + 0.5)) for r in rates]), F.col("class") + 1)
-    rows = classed(documents, model, carry=True).select("row", F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>")).alias("_n"))
-    return rows.select("row", F.explode("_n")).select("row.*")
+    kept = rows.select("row", copies.alias("_n")).filter("_n > 0")
+    return kept.select("row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("row.*")
