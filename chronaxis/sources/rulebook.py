@@ -23,7 +23,6 @@ STAGES = ["OFFLINE_ESTIMATION", "OPTIONAL_ACQUISITION", "REVERSIBLE_PERSONALIZAT
 CAPABILITIES = ["AVAILABLE", "PARTIAL", "NOT_AVAILABLE"]
 ROUTE_FIELDS = ["id", "source_id", "label_en", "label_zh", "proposed_use_en", "proposed_use_zh", "deployment_stage",
                 "route_capability", "evidence", "evidence_basis_en", "evidence_basis_zh", "source_locator", "naive_action"]
-ANSWER_FIELDS = ["expected_action", "audited_action", "rule_id"]
 ACTIONS = {
     "BOUND_TO_EVIDENCE_SCOPE": ("Use the route only inside its evaluated evidence boundary", "仅在已评估证据边界内使用该路径"),
     "RETAIN_EVALUATED_COMPARATOR": ("Retain the evaluated comparator for this route", "为该路径保留已评估的比较方案"),
