@@ -9,7 +9,6 @@ DataFrame functions only.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -50,6 +49,14 @@ def marked(documents: DataFrame, carry: bool = False) -> DataFrame:
 
 
 LEVELS = 24
+FOLDS = 5
+SURE = 2.0  # standard errors below the estimate at which a word's weight is taken
+ONE = 1 << 20  # weight of one text; whole numbers add up alike in any order
+
+
+def _step(score: Column) -> Column:
+    """Level of a score, from 0."""
+    return F.greatest(F.lit(0), F.least(F.lit(LEVELS - 1), F.floor(2 * score))).cast("int")
 
 
 @dataclass
@@ -60,14 +67,16 @@ class Contrast:
     weights: list[float]
     posterior: list[float]
 
-    def level(self, tokens: Column) -> Column:
-        """Level of summed weight, from 0."""
+    def score(self, tokens: Column) -> Column:
+        """Summed weight of the telling words of a text."""
         if not self.words:
-            return F.lit(0)
+            return F.lit(0.0)
         table = F.create_map(*[F.lit(x) for pair in zip(self.words, self.weights) for x in pair])
         met = F.array_intersect(tokens, F.array(*map(F.lit, self.words)))
-        score = F.aggregate(met, F.lit(0.0), lambda total, word: total + F.try_element_at(table, word))
-        return F.least(F.lit(LEVELS - 1), F.floor(score)).cast("int")
+        return F.aggregate(met, F.lit(0.0), lambda total, word: total + F.try_element_at(table, word))
+
+    def level(self, tokens: Column) -> Column:
+        return _step(self.score(tokens))
 
 
 @dataclass
@@ -87,57 +96,72 @@ class Classifier:
         return {"good": (1 - toxic) * (1 - low), "low": (1 - toxic) * low, "toxic": toxic}
 
 
-def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = 20000, words: int = 256, support: int = 8, presence: float = 0.02) -> Classifier:
+def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = 20000, words: int = 256) -> Classifier:
     """Learn from at most ``fit_rows`` labelled documents, chosen by a hash of the id.
 
     Texts with one opening count once, so a group of near copies speaks once.
-    One half of the texts chooses the telling words of each question: those at
-    least four times as frequent on the yes side and present in at least
-    ``presence`` of its texts (and ``support`` of them).  The other half gives
-    the posterior at each level of summed weight.  Rows without id, text or
-    label are left out; of several label rows the most toxic and the lowest
-    quality count.  Without labels both questions answer one half.
+    A word's weight is the lower confidence bound of its smoothed log ratio
+    between the two sides, so the evidence a word needs does not depend on the
+    size of the table; words with a positive bound tell.  All texts choose the
+    words and all calibrate them: the posterior at each level of summed weight
+    comes from texts scored by the words of the other folds.  Rows without id,
+    text or label are left out; of several label rows the most toxic and the
+    lowest quality count.  Without labels both questions answer one half.
     """
     given = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.min("quality") == 0).alias("low"), (F.max("toxic") == 1).alias("toxic")).dropna()
     sample = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)  # the bound of what is broadcast
     flags = F.struct("low", "toxic").alias("doc_id")
     known = marked(documents.filter(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id").select(flags, "text"))
     known = known.select("doc_id.low", "doc_id.toxic", F.xxhash64(F.substring("text", 1, 64)).alias("family"), "tokens").dropDuplicates(["family"])
-    known = persisted(known.withColumn("half", F.pmod("family", F.lit(2))), "mixing-sample")
-    learn = known.filter("half = 0")
-    size = learn.agg(F.count(F.lit(1)), F.sum(F.col("toxic").cast("long")), F.sum(F.col("low").cast("long"))).first()
-    total = size[0]
-    each = learn.select("toxic", "low", F.explode(F.array_distinct("tokens")).alias("w"))
-    counts = each.groupBy("w").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(c).cast("long")).alias(c) for c in ("toxic", "low")])
-    counts = persisted(counts.filter(F.col("n") >= support), "mixing-words")
-
-    def contrast(side: str, yes: int) -> Contrast:
-        weight = F.log((F.col(side) + 0.5) / (yes + 1)) - F.log((F.col("n") - F.col(side) + 0.5) / (total - yes + 1))
-        told = counts.filter((weight >= math.log(4)) & (F.col(side) >= max(support, presence * yes)))
-        top = told.select("w", weight.alias("x"), (F.col(side) * weight).alias("g")).orderBy(F.desc("g"), "w").limit(words).collect()
-        found = Contrast([r["w"] for r in top], [r["x"] for r in top], [])
-        seen = known.filter("half = 1").groupBy(found.level(F.col("tokens")).alias("level")).agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.col(side).cast("long")).alias("yes")).collect()
-        n, y = [1.0] * LEVELS, [0.5 if not seen else yes / max(total, 1)] * LEVELS
+    known = known.withColumn("weight", F.lit(ONE).cast("long"))
+    known = persisted(known.withColumn("fold", F.pmod(F.xxhash64("family"), F.lit(FOLDS)).cast("int")), "mixing-sample")
+
+    def by_fold(what: Column, name: str) -> list[Column]:
+        return [F.coalesce(F.sum(F.when(F.col("fold") == k, what)), F.lit(0)).alias(f"{name}{k}") for k in range(FOLDS)]
+
+    weight = F.col("weight")
+    sums = [c for name, what in (("n", weight), ("toxic", F.when(F.col("toxic"), weight)), ("low", F.when(F.col("low"), weight))) for c in by_fold(what, name)]
+    size = known.agg(*sums).first()
+    each = known.select("toxic", "low", "weight", "fold", F.explode(F.array_distinct("tokens")).alias("w"))
+    counts = each.groupBy("w").agg(*sums)
+    counts = persisted(counts.filter(sum(F.col(f"{side}{k}") for side in ("toxic", "low") for k in range(FOLDS)) > ONE), "mixing-words")
+
+    def telling(side: str, folds: list[int]) -> Contrast:
+        yes, total = (sum(size[f"{c}{k}"] for k in folds) / ONE for c in (side, "n"))
+        y, n = (sum(F.col(f"{c}{k}") for k in folds) / ONE for c in (side, "n"))
+        ratio = F.log((y + 0.5) / (yes + 1)) - F.log((n - y + 0.5) / (total - yes + 1))
+        bound = ratio - SURE * F.sqrt(1 / (y + 0.5) + 1 / (n - y + 0.5))
+        top = counts.select("w", bound.alias("x"), (y * bound).alias("g")).filter("x > 0").orderBy(F.desc("g"), "w").limit(words).collect()
+        return Contrast([r["w"] for r in top], [r["x"] for r in top], [])
+
+    def contrast(side: str) -> Contrast:
+        found = telling(side, list(range(FOLDS)))
+        score = F.lit(0.0)
+        for k in range(FOLDS):
+            score = F.when(F.col("fold") == k, telling(side, [j for j in range(FOLDS) if j != k]).score(F.col("tokens"))).otherwise(score)
+        seen = known.groupBy(_step(score).alias("level")).agg(F.sum("weight").alias("n"), F.coalesce(F.sum(F.when(F.col(side), weight)), F.lit(0)).alias("yes")).collect()
+        n, y = [0.0] * LEVELS, [0.0] * LEVELS
         for r in seen:
-            n[r["level"]] += r["n"]
-            y[r["level"]] += r["yes"]
-        found.posterior = _rising([(a / b, b) for a, b in zip(y, n)])
+            n[r["level"]], y[r["level"]] = r["n"] / ONE, r["yes"] / ONE
+        found.posterior = _rising(y, n)
         return found
 
-    return Classifier(contrast("toxic", size[1] or 0), contrast("low", size[2] or 0))
+    return Classifier(contrast("toxic"), contrast("low"))
 
 
-def _rising(points: list[tuple[float, float]]) -> list[float]:
-    """Weighted means pooled until they no longer fall."""
+def _rising(yes: list[float], n: list[float]) -> list[float]:
+    """Shares pooled until they rise, each pool smoothed by one text of the overall share; levels without texts follow the one before."""
+    base = sum(yes) / sum(n) if sum(n) > 0 else 0.5
     pools: list[list[float]] = []
-    for mean, weight in points:
-        pools.append([mean, weight, 1])
-        while len(pools) > 1 and pools[-2][0] > pools[-1][0]:
-            m, w, k = pools.pop()
-            p = pools[-1]
-            pools[-1] = [(p[0] * p[1] + m * w) / (p[1] + w), p[1] + w, p[2] + k]
-    return [m for m, _, k in pools for _ in range(int(k))]
+    for y, k in zip(yes, n):
+        pools.append([y, k, 1])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            a, b, c = pools.pop()
+            pools[-1] = [pools[-1][0] + a, pools[-1][1] + b, pools[-1][2] + c]
+    out: list[float] = []
+    for y, k, levels in pools:
+        out += [max([(y + base) / (k + 1), *out[-1:]])] * int(levels)
+    return out
 
 
 def classed(documents: DataFrame, model: Classifier, carry: bool = False) -> DataFrame:

@@ -257,6 +257,30 @@ def test_mixture_drops_only_what_the_mix_does_not_want(spark):
     assert kept == {i for i, _ in docs if i % 4 != 3}
 
 
+INSULTS = ["vile", "nasty", "rotten", "lousy", "awful", "filthy", "wicked", "crude", "mean", "foul"]
+
+
+def insulting(rng, n, labelled_below):
+    """One text in nine is toxic and holds three of ten insults; labels below an id."""
+    docs, labels = [], []
+    for i in range(n):
+        toxic = i % 9 == 4
+        docs.append((i, f"{i} " + " ".join(words(rng, 60, 3000) + (rng.sample(INSULTS, 3) if toxic else []))))
+        if i < labelled_below:
+            labels.append((i, 1, int(toxic)))
+    return docs, labels
+
+
+def test_mixture_learns_from_ten_toxic_labels(spark):
+    docs, labels = insulting(random.Random(12), 200, 93)
+    assert sum(t for *_, t in labels) == 10
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in mixing.mixture(frame(spark, docs), labels, None).collect()}
+    toxic = {i for i, _ in docs if i % 9 == 4}
+    clean = {i for i, _ in docs} - toxic
+    assert len(kept & toxic) <= 0.1 * len(toxic) and len(clean - kept) <= 0.05 * len(clean)
+
+
 def test_mixture_without_labels_or_rows(spark):
     docs, labels = labelled(spark, random.Random(8), 20)
     got = mixing.mixed(frame(spark, docs), labels.limit(0), {"good": 0.5, "low": 0.25, "toxic": 0.25}).collect()
