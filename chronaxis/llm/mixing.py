@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import persisted
+from .components import components
 
 DOMAINS = ("good", "low", "toxic")
 SYMBOLS = "!\"#$%&*+/<=>@\\^_`{|}~[]"
@@ -96,10 +97,37 @@ class Classifier:
         return {"good": (1 - toxic) * (1 - low), "low": (1 - toxic) * low, "toxic": toxic}
 
 
+SKETCH = 32  # smallest token hashes of a text that are compared
+NEAR = 0.7  # share of them that near copies have in common
+
+
+def _weighted(texts: DataFrame) -> DataFrame:
+    """Texts (id, low, toxic, tokens) with ``family``, the smallest id of a component of near copies, and ``weight``.
+
+    Two texts are near copies if the smallest hashes of both their token sets
+    together agree in a share of ``NEAR``.  Texts meet the smallest id that has
+    four of these hashes in the same sequence, so no pairs of copies are built.
+    """
+    hashes = F.array_sort(F.transform("tokens", lambda w: F.xxhash64(w)))
+    sketch = persisted(texts.select("id", F.slice(hashes, 1, SKETCH).alias("s")).dropDuplicates(["id"]), "mixing-sketches")
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("s") - 3)), lambda i: F.xxhash64(F.slice("s", i, F.lit(4))))
+    keys = sketch.select("id", F.explode(F.array_distinct(runs)).alias("key"))
+    met = keys.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    pairs = keys.join(met, "key").filter("a < id").select("a", F.col("id").alias("b")).distinct()
+    pairs = pairs.join(sketch.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sketch.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    least = F.slice(F.array_sort(F.array_union("x", "y")), 1, SKETCH)
+    near = F.size(F.array_intersect(F.array_intersect(least, "x"), "y")) >= NEAR * F.size(least)
+    named = texts.join(components(pairs.filter(near).select("a", "b")), "id", "left").withColumn("family", F.coalesce("label", "id"))
+    sizes = named.groupBy("family", "low", "toxic").agg(F.count(F.lit(1)).alias("k"))
+    rows = named.join(sizes, ["family", "low", "toxic"])
+    return rows.select("low", "toxic", "family", "tokens", F.round(ONE / F.col("k")).cast("long").alias("weight"))
+
+
 def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = 20000, words: int = 256) -> Classifier:
     """Learn from at most ``fit_rows`` labelled documents, chosen by a hash of the id.
 
-    Texts with one opening count once, so a group of near copies speaks once.
+    A family of near copies, told by its whole texts, weighs as much as one
+    text, on each side it is labelled for; all its texts are in one fold.
     A word's weight is the lower confidence bound of its smoothed log ratio
     between the two sides, so the evidence a word needs does not depend on the
     size of the table; words with a positive bound tell.  All texts choose the
@@ -112,8 +140,8 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = 20000, words: i
     sample = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)  # the bound of what is broadcast
     flags = F.struct("low", "toxic").alias("doc_id")
     known = marked(documents.filter(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id").select(flags, "text"))
-    known = known.select("doc_id.low", "doc_id.toxic", F.xxhash64(F.substring("text", 1, 64)).alias("family"), "tokens").dropDuplicates(["family"])
-    known = known.withColumn("weight", F.lit(ONE).cast("long"))
+    known = known.select("doc_id.low", "doc_id.toxic", F.xxhash64("text").alias("id"), "tokens").dropDuplicates(["id", "low", "toxic"])
+    known = _weighted(persisted(known, "mixing-texts"))
     known = persisted(known.withColumn("fold", F.pmod(F.xxhash64("family"), F.lit(FOLDS)).cast("int")), "mixing-sample")
 
     def by_fold(what: Column, name: str) -> list[Column]:

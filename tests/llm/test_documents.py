@@ -281,6 +281,20 @@ def test_mixture_learns_from_ten_toxic_labels(spark):
     assert len(kept & toxic) <= 0.1 * len(toxic) and len(clean - kept) <= 0.05 * len(clean)
 
 
+def test_mixture_families_are_told_by_whole_texts(spark):
+    rng = random.Random(13)
+    banner = "This file is part of a collection and may be copied under the terms of its licence. "
+    docs, labels = insulting(rng, 180, 180)
+    docs = [(i, banner + t) for i, t in docs]
+    body = words(rng, 60, 3000)
+    docs += [(500 + k, " ".join([f"edited{k}"] + body + ["copied"])) for k in range(30)]  # near copies with other openings
+    labels += [(500 + k, 1, 1) for k in range(30)]
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = mixing.fit(frame(spark, docs), labels)
+    assert set(INSULTS) <= set(model.toxic.words) and not {"copied"} & set(model.toxic.words)
+    assert mixing.fit(frame(spark, docs[::-1]).repartition(7), labels) == model
+
+
 def test_mixture_without_labels_or_rows(spark):
     docs, labels = labelled(spark, random.Random(8), 20)
     got = mixing.mixed(frame(spark, docs), labels.limit(0), {"good": 0.5, "low": 0.25, "toxic": 0.25}).collect()
