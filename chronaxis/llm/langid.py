@@ -167,7 +167,8 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def predict(documents: DataFrame, filters: Filters, carry: bool = False) -> DataFrame:
-    """One row per input row: doc_id, held_out, lang_pred, score; with ``carry`` also the input row as struct ``row``.
+    """One row per input row: doc_id, held_out, lang_pred, score; with ``carry`` also ``lettered``,
+    whether the text has a letter, and the input row as struct ``row``.
 
     The score is the winner's share of all corrected popcounts.  Null text and
     text without a letter give ``und`` and 0; so does everything if nothing
@@ -192,11 +193,11 @@ def predict(documents: DataFrame, filters: Filters, carry: bool = False) -> Data
                     if known[i]:
                         names[i] = model.languages[best[i]]
                         scores[i] = float(points[best[i], i] / total[i]) if total[i] > 0 else 0.0
-            rest = [(c, batch.column(c)) for c in ("row",) if carry]
+            rest = [("lettered", pa.array(known, pa.bool_())), ("row", batch.column("row"))] if carry else []
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), *(v for _, v in rest)],
                 ["doc_id", "held_out", "lang_pred", "score", *(c for c, _ in rest)])
 
     rows = documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", *([F.struct("*").alias("row")] if carry else []))
     shape = T.StructType.fromDDL("doc_id long, held_out boolean, lang_pred string, score double")
-    return rows.mapInArrow(run, T.StructType(shape.fields + ([rows.schema["row"]] if carry else [])))
+    return rows.mapInArrow(run, T.StructType(shape.fields + ([T.StructField("lettered", T.BooleanType()), rows.schema["row"]] if carry else [])))

@@ -20,10 +20,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in no language: null text and text without a letter."""
+    """Drop documents in no language: null text and text without a letter.
+
+    Where no language can be learned, every text with a letter stays.
+    """
     prepared(tune(spark))
     found = langid.predict(docs.select(COLUMNS), langid.fit(docs), carry=True)
-    return found.filter(F.col("lang_pred") != langid.UNDECIDED).select("row.*")
+    return found.filter("lettered").select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,6 +65,13 @@ def test_stages_return_document_columns_and_take_empty_tables(spark, fixture):
         assert name == "encoding" or out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_language_stage_keeps_texts_where_no_language_is_known(spark, fixture):
+    folder, docs = fixture
+    bare = spark.createDataFrame([(d, t, None, s, n) for d, t, _, s, n in docs], DOCS)
+    kept = sorted((r.doc_id, r.text) for r in corpus_pipeline.language(spark, bare, folder).collect())
+    assert kept == sorted((d, t) for d, t, *_ in docs if any(c.isalpha() for c in t or ""))
+
+
 def test_cut_texts_keep_whole_characters(spark, fixture):
     folder, _ = fixture
     docs = spark.createDataFrame([(1, "é" * 40, "aa", "s", 40), (2, "xé" + "é" * 40, "aa", None, 42)], DOCS)
