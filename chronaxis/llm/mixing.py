@@ -9,6 +9,7 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -50,6 +51,8 @@ def marked(documents: DataFrame, carry: bool = False) -> DataFrame:
 
 
 LEVELS = 24
+LENGTHS = 32
+RARE = 16  # frequency up to which chance finds are counted out
 FOLDS = 5
 SURE = 2.0  # standard errors below the estimate at which a word's weight is taken
 ONE = 1 << 20  # weight of one text; whole numbers add up alike in any order
@@ -60,16 +63,23 @@ def _step(score: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(LEVELS - 1), F.floor(2 * score))).cast("int")
 
 
+def _length(tokens: Column) -> Column:
+    """Class of length: the number of distinct words halves from one class to the one before."""
+    return F.least(F.lit(LENGTHS - 1), F.floor(F.log2(F.greatest(F.size(tokens), F.lit(1))))).cast("int")
+
+
 @dataclass
 class Contrast:
-    """One yes-or-no question: telling words with their weights, and the posterior at each level of summed weight."""
+    """One yes-or-no question: telling words with their weights, the chance score at each class of length, and the posterior at each level."""
 
     words: list[str]
     weights: list[float]
+    chance: list[float]
+    spread: list[float]
     posterior: list[float]
 
     def score(self, tokens: Column) -> Column:
-        """Summed weight of the telling words of a text."""
+        """Summed weight of the telling words of a text, before any regard to its length."""
         if not self.words:
             return F.lit(0.0)
         table = F.create_map(*[F.lit(x) for pair in zip(self.words, self.weights) for x in pair])
@@ -77,7 +87,12 @@ class Contrast:
         return F.aggregate(met, F.lit(0.0), lambda total, word: total + F.try_element_at(table, word))
 
     def level(self, tokens: Column) -> Column:
-        return _step(self.score(tokens))
+        return _step(self.beyond_chance(self.score(tokens), _length(tokens)))
+
+    def beyond_chance(self, score: Column, length: Column) -> Column:
+        """How far a score lies above what texts of the other side of this length gather by chance."""
+        mean, spread = (F.element_at(F.array(*map(F.lit, x)), length + 1) for x in (self.chance, self.spread))
+        return (score - mean) / spread
 
 
 @dataclass
@@ -130,11 +145,14 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = 20000, words: i
     text, on each side it is labelled for; all its texts are in one fold.
     A word's weight is the lower confidence bound of its smoothed log ratio
     between the two sides, so the evidence a word needs does not depend on the
-    size of the table; words with a positive bound tell.  All texts choose the
-    words and all calibrate them: the posterior at each level of summed weight
-    comes from texts scored by the words of the other folds.  Rows without id,
-    text or label are left out; of several label rows the most toxic and the
-    lowest quality count.  Without labels both questions answer one half.
+    size of the table, times the share of equally frequent words that are not
+    chance finds; words with a positive weight tell.  All texts choose the
+    words and all calibrate them, scored by the words of the other folds.  Long
+    texts gather telling words by chance: a score counts from the mean that
+    texts without the label reach at this length, in units of their spread.
+    Both rise with length, saturate where such texts do, and double with the
+    length beyond the longest of them.  Rows without id, text or label are left
+    out; of several label rows the most toxic and the lowest quality count.  Without labels both questions answer one half.
     """
     given = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.min("quality") == 0).alias("low"), (F.max("toxic") == 1).alias("toxic")).dropna()
     sample = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)  # the bound of what is broadcast
@@ -152,22 +170,35 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = 20000, words: i
     size = known.agg(*sums).first()
     each = known.select("toxic", "low", "weight", "fold", F.explode(F.array_distinct("tokens")).alias("w"))
     counts = each.groupBy("w").agg(*sums)
-    counts = persisted(counts.filter(sum(F.col(f"{side}{k}") for side in ("toxic", "low") for k in range(FOLDS)) > ONE), "mixing-words")
+    counts = persisted(counts, "mixing-words")
 
     def telling(side: str, folds: list[int]) -> Contrast:
         yes, total = (sum(size[f"{c}{k}"] for k in folds) / ONE for c in (side, "n"))
         y, n = (sum(F.col(f"{c}{k}") for k in folds) / ONE for c in (side, "n"))
         ratio = F.log((y + 0.5) / (yes + 1)) - F.log((n - y + 0.5) / (total - yes + 1))
         bound = ratio - SURE * F.sqrt(1 / (y + 0.5) + 1 / (n - y + 0.5))
+        # Of the words of this frequency, how many stand on the yes side so often by chance alone?
+        often, hits = F.round(n).cast("int"), F.round(y).cast("int")
+        cells = counts.filter(often.between(1, RARE)).groupBy(often.alias("n"), hits.alias("y")).agg(F.count(F.lit(1)).alias("k")).collect()
+        every = [sum(r["k"] for r in cells if r["n"] == i) for i in range(RARE + 1)]
+        p = yes / total if total else 0.0
+        real = {r["n"] * 100 + r["y"]: max(0.0, 1 - every[r["n"]] * math.comb(r["n"], r["y"]) * p ** r["y"] * (1 - p) ** (r["n"] - r["y"]) / r["k"]) for r in cells}
+        if real:
+            bound = bound * F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in sorted(real.items()) for x in pair]), often * 100 + hits), F.lit(1.0))
         top = counts.select("w", bound.alias("x"), (y * bound).alias("g")).filter("x > 0").orderBy(F.desc("g"), "w").limit(words).collect()
-        return Contrast([r["w"] for r in top], [r["x"] for r in top], [])
+        return Contrast([r["w"] for r in top], [r["x"] for r in top], [0.0] * LENGTHS, [1.0] * LENGTHS, [])
 
     def contrast(side: str) -> Contrast:
         found = telling(side, list(range(FOLDS)))
         score = F.lit(0.0)
         for k in range(FOLDS):
             score = F.when(F.col("fold") == k, telling(side, [j for j in range(FOLDS) if j != k]).score(F.col("tokens"))).otherwise(score)
-        seen = known.groupBy(_step(score).alias("level")).agg(F.sum("weight").alias("n"), F.coalesce(F.sum(F.when(F.col(side), weight)), F.lit(0)).alias("yes")).collect()
+        scored = persisted(known.select(score.alias("score"), _length(F.col("tokens")).alias("length"), side, "weight"), "mixing-scores")
+        mass = (F.col("score") * 1000).cast("long")  # whole thousandths
+        sums = scored.filter(~F.col(side)).groupBy("length").agg(*[F.sum(x.cast("decimal(38,0)")).cast("double").alias(c) for c, x in (("n", weight), ("s", weight * mass), ("q", weight * mass * mass))]).collect()
+        found.chance, found.spread = _by_length({r["length"]: (r["n"], r["s"] / 1e3, r["q"] / 1e6) for r in sums}, sum(found.weights))
+        level = _step(found.beyond_chance(F.col("score"), F.col("length")))
+        seen = scored.groupBy(level.alias("level")).agg(F.sum("weight").alias("n"), F.coalesce(F.sum(F.when(F.col(side), weight)), F.lit(0)).alias("yes")).collect()
         n, y = [0.0] * LEVELS, [0.0] * LEVELS
         for r in seen:
             n[r["level"]], y[r["level"]] = r["n"] / ONE, r["yes"] / ONE
@@ -177,21 +208,40 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = 20000, words: i
     return Classifier(contrast("toxic"), contrast("low"))
 
 
-def _rising(yes: list[float], n: list[float]) -> list[float]:
-    """Shares pooled until they rise, each pool smoothed by one text of the overall share; levels without texts follow the one before."""
-    base = sum(yes) / sum(n) if sum(n) > 0 else 0.5
+def _pools(total: list[float], n: list[float]) -> list[list[float]]:
+    """Sums, weights and numbers of levels, neighbours pooled until the means rise; levels of no weight join the one before."""
     pools: list[list[float]] = []
-    for y, k in zip(yes, n):
+    for y, k in zip(total, n):
         pools.append([y, k, 1])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             a, b, c = pools.pop()
             pools[-1] = [pools[-1][0] + a, pools[-1][1] + b, pools[-1][2] + c]
+    return pools
+
+
+def _rising(yes: list[float], n: list[float]) -> list[float]:
+    """Rising shares, each pool smoothed by one text of the overall share."""
+    base = sum(yes) / sum(n) if sum(n) > 0 else 0.5
     out: list[float] = []
-    for y, k, levels in pools:
+    for y, k, levels in _pools(yes, n):
         out += [max([(y + base) / (k + 1), *out[-1:]])] * int(levels)
     return out
 
 
+def _by_length(seen: dict[int, tuple[float, float, float]], most: float) -> tuple[list[float], list[float]]:
+    """Rising mean score and spread (at least 1) of every class of length, from weights, sums and sums of squares."""
+    if not seen:
+        return [0.0] * LENGTHS, [1.0] * LENGTHS
+    none = (0.0, 0.0, 0.0)
+    n, s, q = zip(*[seen.get(i, none) for i in range(LENGTHS)])
+    within = [max(0.0, b - a * a / k) if k else 0.0 for k, a, b in zip(n, s, q)]
+    mean, var = ([y / k if k else 0.0 for y, k, levels in _pools(x, n) for _ in range(int(levels))] for x in (s, within))
+    last = max(seen)
+    for i in range(last + 1, LENGTHS):
+        mean[i], var[i] = min(most, 2 * mean[i - 1]), min(most * most, 2 * var[i - 1])
+    return mean, [(1 + v) ** 0.5 for v in var]
+
+
 def classed(documents: DataFrame, model: Classifier, carry: bool = False) -> DataFrame:
     """doc_id, n_tokens and class (with ``carry`` also ``row``)."""
     docs = marked(documents, carry)

@@ -295,6 +295,17 @@ def test_mixture_families_are_told_by_whole_texts(spark):
     assert mixing.fit(frame(spark, docs[::-1]).repartition(7), labels) == model
 
 
+def test_mixture_keeps_very_long_clean_texts(spark):
+    rng = random.Random(14)
+    docs, labels = insulting(rng, 300, 200)
+    docs += [(600 + k, " ".join(words(rng, 2000, 3000))) for k in range(12)] + [(900 + k, " ".join(words(rng, 30000, 3000))) for k in range(3)]
+    labels += [(600 + k, 1, 0) for k in range(12)]
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in mixing.mixture(frame(spark, docs), labels, None).collect()}
+    toxic = {i for i, _ in docs if i < 600 and i % 9 == 4}
+    assert {900, 901, 902} <= kept and len(kept & toxic) <= 0.1 * len(toxic)
+
+
 def test_mixture_without_labels_or_rows(spark):
     docs, labels = labelled(spark, random.Random(8), 20)
     got = mixing.mixed(frame(spark, docs), labels.limit(0), {"good": 0.5, "low": 0.25, "toxic": 0.25}).collect()
