@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import tune
 from ..sources.tables import read
-from . import chat, fingerprints, langid, mixing, pieces, repeats, shingles, tokens, topk, urls
+from . import chat, fingerprints, langid, merkle, mixing, pieces, repeats, shingles, tokens, topk, urls
 from .common import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,3 +195,64 @@ FROM b LEFT JOIN r ON b.doc_id = r.doc_id""")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without 50-byte strings of earlier documents."""
     return repeats.without_repeats(read(spark, sf_dir, "documents"), digests=True)
+
+
+def _leaf_sql(n_chars: str) -> str:
+    """A document's leaf digest in SQL."""
+    return "sha256(" + " || ".join(
+        f"coalesce(octet_length(encode({v})) || ':' || {v}, '-')"
+        for v in ("doc_id::VARCHAR", "source", "lang", n_chars, "text")) + ")"
+
+
+#: CRC-32 of a short ASCII text, by its table of 256 entries.
+_CRC_TABLE = """SELECT [list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+  FOR i IN range(256)] AS v"""
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, [CAST(ord(x) AS BIGINT) FOR x IN string_split({}, '')]),
+  lambda c, x: xor(c >> 8, z.v[xor(c & 255, x) + 1])))"""
+
+_HALVED = "[sha256(h[2 * i + 1] || coalesce(h[2 * i + 2], '')) FOR i IN range(0, (len(h) + 1) // 2)]"
+_SIBLING = "l.h[xor(({idx} >> l.k)::BIGINT, 1) + 1]"
+
+
+@query("op12_merkle_manifest", f"""
+WITH RECURSIVE z AS ({_CRC_TABLE}),
+d AS (
+  SELECT doc_id, lang, {_leaf_sql("n_chars::VARCHAR")} AS leaf, {_leaf_sql("(n_chars + 1)::VARCHAR")} AS other FROM documents),
+t(lang, k, h) AS (
+  SELECT lang, 0, list(leaf ORDER BY doc_id) FROM d GROUP BY lang
+  UNION ALL SELECT lang, k + 1, {_HALVED} FROM t WHERE len(h) > 1),
+s AS (SELECT lang, h[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM t WHERE len(h) = 1),
+u(k, h) AS (
+  SELECT 0, list(subroot ORDER BY pos) FROM s
+  UNION ALL SELECT k + 1, {_HALVED} FROM u WHERE len(h) > 1),
+i AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS idx FROM d),
+b AS (
+  SELECT i.doc_id, string_agg({_SIBLING.format(idx="i.idx")}, '' ORDER BY l.k) AS low
+  FROM i JOIN t l ON i.lang IS NOT DISTINCT FROM l.lang AND len(l.h) > 1 GROUP BY i.doc_id),
+a AS (SELECT s.lang, string_agg({_SIBLING.format(idx="s.pos")}, '' ORDER BY l.k) AS high FROM s JOIN u l ON len(l.h) > 1 GROUP BY s.lang),
+c AS (
+  SELECT i.*, i.lang AS tree, {_CRC.format('doc_id::VARCHAR')} % 7 = 0 AND n_chars IS NOT NULL AS hit
+  FROM i JOIN documents USING (doc_id) CROSS JOIN z),
+f(doc_id, tree, idx, hit, k, node) AS (
+  SELECT doc_id, tree, idx, hit, 0, CASE WHEN hit THEN other ELSE leaf END FROM c
+  UNION ALL
+  SELECT f.doc_id, f.tree, f.idx, f.hit, f.k + 1,
+         CASE WHEN (f.idx >> f.k) % 2 = 1 THEN sha256({_SIBLING.format(idx="f.idx")} || f.node)
+              ELSE sha256(f.node || coalesce({_SIBLING.format(idx="f.idx")}, '')) END
+  FROM f JOIN t l ON f.tree IS NOT DISTINCT FROM l.lang AND f.k = l.k WHERE len(l.h) > 1),
+g(doc_id, pos, k, node) AS (
+  SELECT f.doc_id, s.pos, 0, f.node FROM f JOIN s ON f.tree IS NOT DISTINCT FROM s.lang
+  WHERE f.k = (SELECT max(k) FROM t WHERE t.lang IS NOT DISTINCT FROM f.tree)
+  UNION ALL
+  SELECT g.doc_id, g.pos, g.k + 1,
+         CASE WHEN (g.pos >> g.k) % 2 = 1 THEN sha256({_SIBLING.format(idx="g.pos")} || g.node)
+              ELSE sha256(g.node || coalesce({_SIBLING.format(idx="g.pos")}, '')) END
+  FROM g JOIN u l ON g.k = l.k WHERE len(l.h) > 1)
+SELECT i.doc_id, i.leaf, s.subroot, r.root, sha256(coalesce(b.low, '') || coalesce(a.high, '')) AS proof_sha256,
+       g.node AS folded_root, g.node = r.root AS verified, i.idx AS leaf_index, count(*) OVER (PARTITION BY i.lang) AS n_leaves
+FROM i JOIN s ON i.lang IS NOT DISTINCT FROM s.lang LEFT JOIN b USING (doc_id) LEFT JOIN a ON a.lang IS NOT DISTINCT FROM i.lang
+CROSS JOIN (SELECT h[1] AS root FROM u WHERE len(h) = 1) r
+JOIN g ON g.doc_id = i.doc_id AND g.k = (SELECT max(k) FROM u)""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document against the manifest of all, and of its tampered copy."""
+    return merkle.document_proofs(read(spark, sf_dir, "documents"))
