@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import tune
 from ..sources.tables import read
-from . import chat, fingerprints, langid, merkle, mixing, pieces, repeats, shingles, tokens, topk, urls
+from . import chat, fingerprints, langid, merkle, mixing, pieces, repeats, shingles, tokens, topk, urls, whitening
 from .common import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -256,3 +256,9 @@ JOIN g ON g.doc_id = i.doc_id AND g.k = (SELECT max(k) FROM u)""")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proof of every document against the manifest of all, and of its tampered copy."""
     return merkle.document_proofs(read(spark, sf_dir, "documents"))
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight leading whitened components of every embedding."""
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
