@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import tune
 from ..sources.tables import read
-from . import chat, fingerprints, langid, merkle, mixing, pieces, repeats, shingles, tokens, topk, urls, whitening
+from . import chat, fingerprints, langid, merkle, mixing, pieces, repeats, secrets, shingles, tokens, topk, urls, whitening
 from .common import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,6 +214,12 @@ _HALVED = "[sha256(h[2 * i + 1] || coalesce(h[2 * i + 2], '')) FOR i IN range(0,
 _SIBLING = "l.h[xor(({idx} >> l.k)::BIGINT, 1) + 1]"
 
 
+@query("op11_secret_scans")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: fixed patterns and what the trained field adds."""
+    return secrets.scanned(read(spark, sf_dir, "documents"))
+
+
 @query("op12_merkle_manifest", f"""
 WITH RECURSIVE z AS ({_CRC_TABLE}),
 d AS (
