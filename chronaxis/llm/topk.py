@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import persisted
 
 EXACT = 2**52
+NO_CUTOFF = -(2**63)  # fewer than k candidates: every entry counts
 PACK = "chunk long, list int, ids binary, extra binary, mat binary, width int"
 PACK_ARROW = pa.schema([("chunk", pa.int64()), ("list", pa.int32()), ("ids", pa.binary()), ("extra", pa.binary()), ("mat", pa.binary()), ("width", pa.int32())])
 SUB = 256
@@ -88,7 +89,7 @@ def _entries(small: bool, depth: int | None, lists: int):
             for row in batch.to_pylist():
                 for q_ids, cut, c_ids, s, own in _scores(row, small):
                     if depth is None:
-                        share = -(-cut // lists)  # rounded up: scores are whole numbers
+                        share = np.where(cut == NO_CUTOFF, cut, -(-cut // lists))  # rounded up: scores are whole numbers
                         qi, ci = np.nonzero((s >= share[:, None]) & ~own)
                     else:
                         low = np.where(own, np.iinfo(np.int64).min, s)
@@ -134,12 +135,16 @@ def top_k(vectors: DataFrame, query_filter, key: str = "vec_id", vector: str = "
     empty table gives none.  Vectors of different lengths are compared as if
     the shorter ended in zeros.  Of equal vectors only the k + 1 smallest ids
     can ever answer, so later copies leave the lists before the search.
-    Scores are exact: beyond 2^52 the lists use 64-bit integers.
+    Scores are exact: beyond 2^52 the lists use 64-bit integers.  Where the
+    largest component leaves room for a score beyond a long, the call raises
+    before any search; a smaller ``scale`` helps.
     """
     rows = persisted(quantised(vectors, key, vector, scale), "topk-rows")
-    size = rows.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs))),
+    size = rows.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda c: F.abs(c.cast("double"))))),
                     F.sum(query_filter.cast("int"))).first()
     n, dims, peak, asked = size[0], max(size[1] or 0, 1), size[2] or 0, size[3] or 0
+    if peak * peak * dims >= 2**63:
+        raise ArithmeticError(f"components up to {peak:.0f} in {dims} dimensions: scores may not fit a long")
     small = peak * peak * dims < EXACT
     lists = min(lists, dims)
     chunks, blocks = max(1, -(-n // chunk_rows)), max(1, -(-asked // query_rows))
@@ -155,7 +160,7 @@ def top_k(vectors: DataFrame, query_filter, key: str = "vec_id", vector: str = "
             asked_for = queries.withColumn("extra", F.lit(0).cast("long"))
         else:
             asked_for = queries.join(cutoffs, queries["id"] == cutoffs["query_id"], "left").select(
-                "id", "v", "chunk", F.coalesce("cutoff", F.lit(-EXACT)).alias("extra"))
+                "id", "v", "chunk", F.coalesce("cutoff", F.lit(NO_CUTOFF)).alias("extra"))
         q = asked_for.groupBy("chunk").applyInArrow(_pack(dims, lists), PACK)
         q = q.select(F.col("chunk").alias("qchunk"), "list", F.col("ids").alias("q_ids"), F.col("extra").alias("q_extra"), F.col("mat").alias("q_mat"))
         q = q.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))

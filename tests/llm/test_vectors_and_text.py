@@ -141,3 +141,12 @@ def test_piece_coding_round_trip(spark):
     assert sorted(r.decoded_sha256 for r in full) == sorted(hashlib.sha256((t or "").encode()).hexdigest() for _, t in rows)
     assert all(r.n_pieces == len(r.ids) for r in full)
     assert pieces.coded_documents(frame(spark, []), MODEL).count() == 0
+
+
+def test_topk_keeps_large_negative_scores_and_refuses_overflow(spark):
+    shape = "vec_id long, embedding array<double>"
+    few = spark.createDataFrame([(0, [1e6]), (1, [-1e6]), (2, [5.0])], shape)
+    got = topk.top_k(few, F.col("id") % 100 == 0).collect()
+    assert sorted((r["rank"], r["id"], r["score"]) for r in got) == [(1, 2, 1_024_000_000 * 5120), (2, 1, -1_024_000_000**2)]
+    with pytest.raises(ArithmeticError):
+        topk.top_k(spark.createDataFrame([(0, [1e8]), (1, [1e30])], shape), F.col("id") % 100 == 0)
