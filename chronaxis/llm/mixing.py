@@ -138,6 +138,15 @@ def _weighted(texts: DataFrame) -> DataFrame:
     return rows.select("low", "toxic", "family", "tokens", F.round(ONE / F.col("k")).cast("long").alias("weight"))
 
 
+def _real_share(found: int, by_chance: float) -> float:
+    """Share of words found that are no chance finds, smoothed by one real word.
+
+    A cell of few words cannot prove that all of them are chance finds, so
+    they keep a small weight.
+    """
+    return (max(0.0, found - by_chance) + 1) / (found + 1)
+
+
 def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = 20000, words: int = 256) -> Classifier:
     """Learn from at most ``fit_rows`` labelled documents, chosen by a hash of the id.
 
@@ -182,7 +191,7 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = 20000, words: i
         cells = counts.filter(often.between(1, RARE)).groupBy(often.alias("n"), hits.alias("y")).agg(F.count(F.lit(1)).alias("k")).collect()
         every = [sum(r["k"] for r in cells if r["n"] == i) for i in range(RARE + 1)]
         p = yes / total if total else 0.0
-        real = {r["n"] * 100 + r["y"]: max(0.0, 1 - every[r["n"]] * math.comb(r["n"], r["y"]) * p ** r["y"] * (1 - p) ** (r["n"] - r["y"]) / r["k"]) for r in cells}
+        real = {r["n"] * 100 + r["y"]: _real_share(r["k"], every[r["n"]] * math.comb(r["n"], r["y"]) * p ** r["y"] * (1 - p) ** (r["n"] - r["y"])) for r in cells}
         if real:
             bound = bound * F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in sorted(real.items()) for x in pair]), often * 100 + hits), F.lit(1.0))
         top = counts.select("w", bound.alias("x"), (y * bound).alias("g")).filter("x > 0").orderBy(F.desc("g"), "w").limit(words).collect()
@@ -248,50 +257,80 @@ def classed(documents: DataFrame, model: Classifier, carry: bool = False) -> Dat
     return docs.select("doc_id", "n_tokens", *(["row"] if carry else []), model.member_class(F.col("tokens")).alias("class"))
 
 
-def fitted_rates(members: DataFrame, model: Classifier, targets: dict[str, float] | None, tolerance: float = 1e-4, steps: int = 40) -> list[float]:
+@dataclass
+class Rates:
+    """Rate of every class, shares of the present token total asked for and reached, and how far from an optimum they are.
+
+    ``gap`` is the largest violation of the optimality conditions: no rate
+    above zero wants to move, none at zero wants to rise.  At a gap of zero a
+    share that misses its target cannot be met with these posteriors.
+    """
+
+    rates: list[float]
+    wanted: dict[str, float]
+    reached: dict[str, float]
+    gap: float
+
+
+STEPS = 1000  # gradient steps of one job
+
+
+def fitted_rates(members: DataFrame, model: Classifier, targets: dict[str, float] | None, tolerance: float = 1e-6) -> Rates:
     """The rate of every class, by projected gradient over the distributed token totals.
 
     Minimises the squared misses of the domains' expected token totals, each
     relative to the domain's present total, over nonnegative rates, from rate 1
-    everywhere.  Scaled this way the step size is 1 and sharp posteriors need
-    few steps.  Documents of one class have one gradient per token and so one
-    rate; their tokens are summed once, before the steps.  ``targets`` are
+    everywhere.  Scaled this way the step size is 1.  Documents of one class
+    have one gradient per token and so one rate; their tokens are summed once,
+    before the steps, which then work on one row of at most LEVELS squared
+    classes, until no rate moves by more than ``tolerance``.  ``targets`` are
     shares of the present token total; None keeps every domain's present share
     but drops ``toxic``.
     """
-    classes = members.groupBy("class").agg(F.sum("n_tokens").alias("n"))
+    classes = members.groupBy("class").agg(F.sum("n_tokens").cast("double").alias("n"))
     parts = model.posteriors(F.col("class"))
-    # At most LEVELS squared rows.
-    classes = persisted(classes.select("class", "n", *[parts[d].alias(f"p_{d}") for d in DOMAINS]).coalesce(1), "mixing-classes")
-    rows = members.sparkSession.range(LEVELS * LEVELS).select(F.col("id").cast("int").alias("class"))
-
-    def sums(rate: Column) -> list[float]:
-        row = classes.agg(*[F.sum(rate * F.col("n") * F.col(f"p_{d}")).alias(d) for d in DOMAINS]).first()
-        return [row[d] or 0.0 for d in DOMAINS]
+    item = F.struct("class", "n", *[parts[d].alias(d) for d in DOMAINS])
+    row = persisted(classes.filter("n > 0").agg(F.sort_array(F.collect_list(item)).alias("items")), "mixing-classes")
 
-    def rate_after(moves: list[list[float]], parts: dict[str, Column]) -> Column:
-        if not moves:
-            return F.lit(1.0)
-        path = F.array(*[F.array(*map(F.lit, m)) for m in moves])
-        return F.aggregate(path, F.lit(1.0), lambda rate, move: F.greatest(
-            F.lit(0.0), rate - sum(F.element_at(move, i + 1) * parts[d] for i, d in enumerate(DOMAINS))))
+    def totals(rate: Column) -> list[Column]:
+        return [F.aggregate(F.zip_with("items", rate, _tokens(d)), F.lit(0.0), lambda a, b: a + b) for d in DOMAINS]
 
-    own = {d: F.col(f"p_{d}") for d in DOMAINS}
-    moves: list[list[float]] = []
-    present = now = sums(F.lit(1.0))
+    ones = F.transform("items", lambda c: F.lit(1.0))
+    present = [x or 0.0 for x in row.select(*totals(ones)).first()]
     total = sum(present)
-    if targets is None:
-        wanted = [0.0 if d == "toxic" else present[i] for i, d in enumerate(DOMAINS)]
-    else:
-        wanted = [targets[d] * total for d in DOMAINS]
-    while total > 0 and len(moves) < steps:
-        miss = [(n - w) / p if p > 0 else 0.0 for n, w, p in zip(now, wanted, present)]
-        if max(abs(m) for m in miss) < tolerance:
+    wanted = [0.0 if d == "toxic" and targets is None else present[i] if targets is None else targets[d] * total for i, d in enumerate(DOMAINS)]
+
+    def misses(rate: Column) -> Column:
+        return F.array(*[(now - F.lit(w)) / F.lit(p) if p > 0 else F.lit(0.0) for now, w, p in zip(totals(rate), wanted, present)])
+
+    def moved(rate: Column) -> Column:
+        return F.transform(F.array(misses(rate)), lambda miss: F.zip_with("items", rate, _step_down(miss)))[0]
+
+    rate, gap, now = [], 0.0, present
+    while total > 0:
+        start = F.array(*map(F.lit, rate)) if rate else ones
+        after = row.select("items", F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, lambda r, _: moved(r)).alias("r"))
+        after = after.select("r", *totals(F.col("r")), F.array_max(F.zip_with("r", moved(F.col("r")), lambda a, b: F.abs(a - b)))).first()
+        rate, now, gap = after[0], list(after[1:-1]), after[-1]
+        if gap < tolerance:
             break
-        moves.append(miss)
-        now = sums(rate_after(moves, own))
-    fitted = rows.select("class", rate_after(moves, model.posteriors(F.col("class"))).alias("rate")).collect()
-    return [r["rate"] for r in sorted(fitted)]
+    # Rates of the classes without tokens follow from the last misses: what one step from rate 1 makes of them.
+    miss = [(n - w) / p if p > 0 else 0.0 for n, w, p in zip(now, wanted, present)]
+    rows = members.sparkSession.range(LEVELS * LEVELS).select(F.col("id").cast("int").alias("class"))
+    own = model.posteriors(F.col("class"))
+    known = {c: r for c, r in zip(row.select(F.col("items.class").alias("c")).first()["c"] or [], rate)} if rate else {}
+    step = F.greatest(F.lit(0.0), F.lit(1.0) - sum(F.lit(m) * own[d] for m, d in zip(miss, DOMAINS)))
+    other = sorted(rows.select("class", step.alias("rate")).collect())
+    share = lambda x: {d: v / total if total > 0 else 0.0 for d, v in zip(DOMAINS, x)}
+    return Rates([known.get(r["class"], r["rate"]) for r in other], share(wanted), share(now), gap)
+
+
+def _tokens(domain: str):
+    return lambda c, rate: c["n"] * c[domain] * rate
+
+
+def _step_down(miss: Column):
+    return lambda c, rate: F.greatest(F.lit(0.0), rate - sum(miss[i] * c[d] for i, d in enumerate(DOMAINS)))
 
 
 def mixed(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None, fit_rows: int = 20000) -> DataFrame:
@@ -299,8 +338,9 @@ def mixed(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | N
 
     ``copies`` rounds the rate up or down by a hash of the id, so that its
     expectation is the rate.  A text without words has no tokens and so no part
-    in the totals; its rate follows from its class.  Without any label every
-    rate is alike.  Repeated rows and null ids are rows of their own; other
+    in the totals; its rate follows from its class.  ``wanted_<domain>`` and
+    ``reached_<domain>`` are shares of the present token total, ``gap`` says how
+    far the rates are from an optimum.  Without any label every rate is alike.  Repeated rows and null ids are rows of their own; other
     columns are not carried.
     """
     model = fit(documents, labels, fit_rows)
@@ -308,8 +348,9 @@ def mixed(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | N
     rates = fitted_rates(members, model, targets)
     parts = model.posteriors(F.col("class"))
     draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(29)), F.lit(1 << 30)) / (1 << 30)
-    rate = F.element_at(F.array(*map(F.lit, rates)), F.col("class") + 1)
-    return members.select("doc_id", "n_tokens", *[parts[d].alias(f"p_{d}") for d in DOMAINS], rate.alias("rate"), F.floor(rate + draw).cast("long").alias("copies"))
+    rate = F.element_at(F.array(*map(F.lit, rates.rates)), F.col("class") + 1)
+    shares = [F.lit(x[d]).alias(f"{name}_{d}") for name, x in (("wanted", rates.wanted), ("reached", rates.reached)) for d in DOMAINS]
+    return members.select("doc_id", "n_tokens", *[parts[d].alias(f"p_{d}") for d in DOMAINS], rate.alias("rate"), F.floor(rate + draw).cast("long").alias("copies"), *shares, F.lit(rates.gap).alias("gap"))
 
 
 def mixture(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None, fit_rows: int = 20000) -> DataFrame:
@@ -320,7 +361,7 @@ def mixture(documents: DataFrame, labels: DataFrame, targets: dict[str, float] |
     model = fit(documents, labels, fit_rows)
     # Written with their class, so the texts are classified once and the sums read two columns.
     rows = persisted(classed(documents, model, carry=True), "mixing-rows")
-    rates = fitted_rates(rows.select("n_tokens", "class"), model, targets)
+    rates = fitted_rates(rows.select("n_tokens", "class"), model, targets).rates
     copies = F.element_at(F.array(*[F.lit(int(r + 0.5)) for r in rates]), F.col("class") + 1)
     kept = rows.select("row", copies.alias("_n")).filter("_n > 0")
     return kept.select("row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("row.*")

@@ -1,5 +1,6 @@
 """Repeat removal, language, mixing, shingle join, URL rules, chat formatting: plain forms and edge cases."""
 
+import dataclasses
 import random
 
 import numpy as np
@@ -311,3 +312,31 @@ def test_mixture_without_labels_or_rows(spark):
     got = mixing.mixed(frame(spark, docs), labels.limit(0), {"good": 0.5, "low": 0.25, "toxic": 0.25}).collect()
     assert len({round(r.rate, 9) for r in got}) == 1
     assert mixing.mixed(frame(spark, []), labels, {"good": 1.0, "low": 0.0, "toxic": 0.0}).count() == 0
+
+
+def test_rates_equal_plain_nonnegative_least_squares(spark):
+    rng = np.random.default_rng(7)
+    bare = mixing.Contrast([], [], [0.0] * mixing.LENGTHS, [1.0] * mixing.LENGTHS, [])
+    rising = lambda: sorted(float(x) for x in rng.random(mixing.LEVELS))
+    model = mixing.Classifier(dataclasses.replace(bare, posterior=rising()), dataclasses.replace(bare, posterior=rising()))
+    members = [(int(c), int(n)) for c, n in zip(rng.integers(mixing.LEVELS**2, size=60), rng.integers(0, 500, size=60))]
+    frame_ = spark.createDataFrame(members, "class int, n_tokens long")
+    tokens = {}
+    for c, n in members:
+        tokens[c] = tokens.get(c, 0) + n
+    toxic, low = (np.array(x.posterior) for x in (model.toxic, model.low))
+    index = np.array(sorted(c for c, n in tokens.items() if n))
+    t, q = toxic[index // mixing.LEVELS], low[index % mixing.LEVELS]
+    parts = np.stack([(1 - t) * (1 - q), (1 - t) * q, t])
+    n = np.array([tokens[c] for c in index])
+    present = (parts * n).sum(axis=1)
+    for targets in ({"good": 0.5, "low": 0.3, "toxic": 0.2}, {"good": 0.99, "low": 0.01, "toxic": 0.0}):
+        wanted = np.array(list(targets.values())) * n.sum()
+        rate = np.ones(len(n))
+        for _ in range(200_000):  # plain projected gradient of the same squares, far past convergence
+            rate = np.maximum(0, rate - parts.T @ (((parts * n * rate).sum(axis=1) - wanted) / present))
+        got = mixing.fitted_rates(frame_, model, targets)
+        squares = lambda r: ((((parts * n * r).sum(axis=1) - wanted) / present) ** 2).sum()
+        assert squares(np.array([got.rates[c] for c in index])) == pytest.approx(squares(rate), rel=1e-3, abs=1e-9)
+        assert [got.reached[d] for d in mixing.DOMAINS] == pytest.approx(list((parts * n * rate).sum(axis=1) / n.sum()), abs=1e-4)
+        assert got.gap < 1e-6
