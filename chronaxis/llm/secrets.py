@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import persisted
+
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -390,6 +392,7 @@ def fit(docs: DataFrame, fit_rows: int = 4000) -> Model:
     """
     found = docs.select("text").mapInArrow(_windows, WINDOW)
     found = found.groupBy("positive", "rank").agg(F.min(F.struct("tokens", "tags", "files")).alias("w"))
+    found = persisted(found, "secrets-windows")
     parts = [found.filter(F.col("positive") == side).orderBy("rank").limit(fit_rows // 2) for side in (True, False)]
     sample = parts[0].unionByName(parts[1]).select("positive", "rank", "w.*")
     # One bounded table of windows, one group; an empty side is found out by the trainer.
