@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import distributed as D
+from ..operators import linkage as L
 from ..operators import rules as R
 from ..sources import adapters as A
 from ..sources import formats as Fm
 from ..sources.routes import routes
-from ..sources.shared import shared_folder
+from ..sources.shared import shared_folder, written
 from ..sources.tables import read
 from .registry import TRACE, q6, query, r6, with_
 from .rule_queries import ROUTES
@@ -364,51 +365,89 @@ def _(spark, sf):
 
 # ---- record linkage ------------------------------------------------------------------------
 
-TITLE = "regexp_replace(strip_accents(replace(lower(split_part(text, chr(10), 1)), 'ß', 'ss')), '[^a-z0-9]', '', 'g')"
-LINK = f"""rec AS (SELECT doc_id, lang, source, n_chars, {TITLE} AS title FROM documents),
-lk AS (SELECT a.doc_id, max(1.0 + CASE WHEN a.lang = b.lang THEN 0.18 ELSE 0 END + CASE WHEN a.source = b.source THEN 0.08 ELSE 0 END) AS score,
- arg_min(b.doc_id, {{'a': -(CASE WHEN a.lang = b.lang THEN 18 ELSE 0 END + CASE WHEN a.source = b.source THEN 8 ELSE 0 END), 'b': b.doc_id}}) AS match FROM rec a JOIN rec b ON a.title = b.title AND a.doc_id <> b.doc_id AND a.title <> '' GROUP BY 1)"""
+NORMAL = "regexp_replace(strip_accents(replace(lower({x}), 'ß', 'ss')), '[^a-z0-9]', '', 'g')"
+TITLE = NORMAL.format(x="split_part(text, chr(10), 1)")
+RECORDS = f"""rec AS (SELECT doc_id AS id, lang AS year, {NORMAL.format(x="coalesce(source, '')")} AS container, {TITLE} AS title FROM documents)"""
 
 
-def two_smallest(df, keys, out):
-    """Smallest and second smallest id per key: enough to name another record for any member."""
-    first = df.groupBy(*keys).agg(F.min("doc_id").alias(f"{out}1"))
-    again = df.join(first, keys).groupBy(*keys).agg(F.min(F.when(F.col("doc_id") > F.col(f"{out}1"), F.col("doc_id"))).alias(f"{out}2"))
-    return first.join(again, keys)
+def ratio_sql(name, strings, least, q, share):
+    """Ordered pairs (a, b, r) of the strings of a relation ``s`` and their matching-block ratio.
 
-
-def linked(spark, sf):
-    """Best other record with the same normalized title.
-
-    Inside a title the score only depends on equal language (0.18) and equal
-    source (0.08), so the best partner is a member of one of four groups.  Two
-    ids per group name it exactly; no pairs of copies are built.
+    Cells are equal characters, ``k`` the length of the common run that starts
+    there; the longest run in a box splits it into the boxes before and behind.
     """
-    rec = read(spark, sf, "documents").select("doc_id", "lang", "source", S.normalized_text(F.substring_index("text", "\n", 1)).alias("title")).filter("title <> ''")
-    levels = [("ls", ["title", "lang", "source"], 1.26), ("l", ["title", "lang"], 1.18), ("s", ["title", "source"], 1.08), ("t", ["title"], 1.0)]
-    j = rec
-    match, score = None, None
-    for name, keys, value in levels:
-        j = j.join(two_smallest(rec, keys, name), keys)
-        other = F.when(F.col(f"{name}1") != F.col("doc_id"), F.col(f"{name}1")).otherwise(F.col(f"{name}2"))
-        hit = other.isNotNull()
-        match = F.when(hit, other) if match is None else match.when(hit, other)
-        score = F.when(hit, value) if score is None else score.when(hit, value)
-    return j.select("doc_id", match.alias("match"), score.alias("score")).filter(F.col("match").isNotNull())
-
-
-@query("jn17_record_linkage", with_(LINK) + f"SELECT doc_id, match, {q6('score')} AS score FROM lk")
+    grams = f"list_distinct([substr(s, i, {q}) FOR i IN range(1, greatest(length(s) - {q - 1}, 1) + 1)])"
+    return f"""{name}_g AS (SELECT s, {grams} AS g FROM (SELECT DISTINCT s FROM {strings} WHERE s <> '' AND length(s) < 200)),
+{name}_c AS (
+  SELECT x.s AS a, y.s AS b FROM {name}_g x JOIN {name}_g y ON x.s <> y.s
+   AND (len(list_intersect(x.g, y.g)) >= ceil({share} * greatest(len(x.g), len(y.g)) - 1e-9)
+        OR (least(length(x.s), length(y.s)) >= 18 AND (starts_with(x.s, y.s) OR starts_with(y.s, x.s))))),
+{name}_e AS (
+  SELECT a, b, i, j FROM (SELECT a, b, i, unnest(range(length(b))) AS j FROM (SELECT a, b, unnest(range(length(a))) AS i FROM {name}_c))
+  WHERE substr(a, i + 1, 1) = substr(b, j + 1, 1)),
+{name}_r AS (SELECT *, i - row_number() OVER (PARTITION BY a, b, i - j ORDER BY i) AS run FROM {name}_e),
+{name}_k AS (SELECT a, b, i, j, max(i) OVER (PARTITION BY a, b, i - j, run) - i + 1 AS k FROM {name}_r),
+{name}_b(a, b, al, ah, bl, bh, m) AS (
+  SELECT a, b, 0::BIGINT, length(a)::BIGINT, 0::BIGINT, length(b)::BIGINT, 0::BIGINT FROM {name}_c
+  UNION ALL
+  SELECT a, b, p.al, p.ah, p.bl, p.bh, p.m FROM (
+    SELECT a, b, unnest([{{'al': al, 'ah': w.i, 'bl': bl, 'bh': w.j, 'm': -w.s}}, {{'al': w.i - w.s, 'ah': ah, 'bl': w.j - w.s, 'bh': bh, 'm': 0}}]) AS p FROM (
+      SELECT x.a, x.b, x.al, x.ah, x.bl, x.bh, min({{'s': -least(k, x.ah - i, x.bh - j), 'i': i, 'j': j}}) AS w
+      FROM {name}_b x JOIN {name}_k c ON c.a = x.a AND c.b = x.b AND i >= x.al AND i < x.ah AND j >= x.bl AND j < x.bh
+      GROUP BY x.a, x.b, x.al, x.ah, x.bl, x.bh))),
+{name} AS (
+  SELECT a, b, r FROM (
+    SELECT a, b, greatest(2.0 * sum(m) / (length(a) + length(b)),
+      CASE WHEN least(length(a), length(b)) >= 18 AND (starts_with(a, b) OR starts_with(b, a)) THEN 0.97 ELSE 0 END) AS r
+    FROM {name}_b GROUP BY a, b) WHERE r >= {least}
+  UNION ALL SELECT DISTINCT s, s, 1.0 FROM {strings} WHERE s <> '')"""
+
+
+LINK = f"""WITH RECURSIVE {RECORDS},
+ts AS (SELECT title AS s FROM rec), cs AS (SELECT container AS s FROM rec),
+{ratio_sql("tr", "ts", 0.72, 5, 0.35)},
+{ratio_sql("cr", "cs", 0.55, 3, 0.35)},
+pr AS (
+  SELECT x.id, y.id AS other, tr.r, coalesce(cr.r, 0) AS c, x.year AS yx, y.year AS yy, x.container AS box,
+         round(tr.r + CASE WHEN x.year = y.year THEN 0.18 ELSE 0 END + 0.08 * coalesce(cr.r, 0), 9) AS score
+  FROM rec x JOIN tr ON tr.a = x.title JOIN rec y ON y.title = tr.b AND y.id <> x.id LEFT JOIN cr ON cr.a = x.container AND cr.b = y.container)
+"""
+
+
+def records(spark, sf):
+    """Documents as records: the first line is the title, the language stands for the year, the source for the container."""
+    d = read(spark, sf, "documents")
+    return d.select(F.col("doc_id").alias("id"), F.col("lang").alias("year"), S.normalized_text(F.coalesce("source", F.lit(""))).alias("container"),
+                    S.normalized_text(F.substring_index("text", "\n", 1)).alias("title"))
+
+
+def linkage_tables(spark, sf):
+    """Records and their similar titles and containers, written once for both linkage queries."""
+    rec = written(spark, "linkage-records", sf, lambda: records(spark, sf))
+    titles = written(spark, "linkage-titles", sf, lambda: L.similar(rec.select(F.col("title").alias("s")), L.TITLE))
+    containers = written(spark, "linkage-containers", sf, lambda: L.similar(rec.select(F.col("container").alias("s")), L.CONTAINER, q=3))
+    return rec, titles, containers
+
+
+@query("jn17_record_linkage", LINK + f"""SELECT id AS doc_id, arg_min(other, {{'s': -score, 'o': other}}) AS match,
+{q6("arg_min(r, {'s': -score, 'o': other})")} AS title_similarity, {q6("max(score)")} AS score FROM pr GROUP BY id""")
 def _(spark, sf):
-    return linked(spark, sf).select("doc_id", "match", r6("score"))
-
-
-@query("dq19_record_reconciliation", with_(LINK) + """, j AS (SELECT lk.doc_id, lk.match, a.lang AS l1, b.lang AS l2, a.source AS s1, b.source AS s2, a.n_chars AS n1, b.n_chars AS n2 FROM lk JOIN rec a ON a.doc_id = lk.doc_id JOIN rec b ON b.doc_id = lk.match)
-SELECT doc_id, match, 'lang' AS field, 'error' AS severity FROM j WHERE l1 <> l2 UNION ALL SELECT doc_id, match, 'source', 'warning' FROM j WHERE s1 <> s2 UNION ALL SELECT doc_id, match, 'n_chars', 'warning' FROM j WHERE abs(n1 - n2) > 5""")
+    """Best other record of every record whose title is similar to another's."""
+    found = L.best_matches(*linkage_tables(spark, sf))
+    return found.select(F.col("id").alias("doc_id"), "match", r6("title_similarity"), r6("score"))
+
+
+@query("dq19_record_reconciliation", LINK + """, o AS (
+  SELECT id, max(r) AS best, count(*) FILTER (r >= 0.9) AS sure, count(*) FILTER (yx = yy) AS same, count(DISTINCT yy) AS years,
+         any_value(box) AS box, count(*) FILTER (c > 0) AS boxed FROM pr GROUP BY id),
+i AS (
+  SELECT rec.id, CASE WHEN o.id IS NULL THEN ['record critical'] ELSE list_filter([
+    CASE WHEN best < 0.88 THEN 'title critical' WHEN best < 0.96 THEN 'title warning' END,
+    CASE WHEN years > 0 AND same = 0 THEN 'year critical' WHEN years > 1 THEN 'year warning' END,
+    CASE WHEN box <> '' AND boxed = 0 THEN 'container warning' END,
+    CASE WHEN sure < 2 THEN 'evidence warning' END], lambda x: x IS NOT NULL) END AS f
+  FROM rec LEFT JOIN o USING (id) WHERE title <> '')
+SELECT id AS doc_id, split_part(x, ' ', 1) AS field, split_part(x, ' ', 2) AS severity FROM (SELECT id, unnest(f) AS x FROM i)""")
 def _(spark, sf):
-    """Issues of each linked record against its match, by field and severity."""
-    d = read(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
-    m = linked(spark, sf).select("doc_id", "match").join(d, "doc_id").join(d.withColumnsRenamed({"doc_id": "match", "lang": "l2", "source": "s2", "n_chars": "n2"}), "match")
-    issues = F.array_compact(F.array(F.when(F.col("lang") != F.col("l2"), F.struct(F.lit("lang").alias("field"), F.lit("error").alias("severity"))),
-                                     F.when(F.col("source") != F.col("s2"), F.struct(F.lit("source").alias("field"), F.lit("warning").alias("severity"))),
-                                     F.when(F.abs(F.col("n_chars") - F.col("n2")) > 5, F.struct(F.lit("n_chars").alias("field"), F.lit("warning").alias("severity")))))
-    return m.select("doc_id", "match", F.explode(issues).alias("i")).select("doc_id", "match", "i.field", "i.severity")
+    """What the other records of a title say against a record, by field and severity."""
+    return L.issues(*linkage_tables(spark, sf)).withColumnRenamed("id", "doc_id")
