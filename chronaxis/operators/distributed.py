@@ -34,8 +34,13 @@ def _matched(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     return left.join(other, cond).drop(*[f"_j_{c}" for c in on])
 
 
-def _bin(x: Column, width: float) -> Column:
-    """Value bin that keeps the order of the values: nulls in the null bin, NaN with the largest."""
+def _bin(x: Column, width: float, descending: bool = False) -> Column:
+    """Value bin that keeps the order of the values: nulls in the null bin, NaN with the largest.
+
+    In descending order (values come negated) NaN is the first bin.
+    """
+    if descending:
+        return F.when(F.isnan(x), F.lit(-LAST_BIN)).when(x.isNotNull(), F.greatest(F.floor(x / F.lit(width)), F.lit(1 - LAST_BIN)))
     return F.when(F.isnan(x), F.lit(LAST_BIN)).otherwise(F.floor(x / F.lit(width)))
 
 
@@ -243,6 +248,55 @@ def medians(df: DataFrame, keys: Sequence[str], values: dict[str, Column], width
     return q.groupBy(*keys).agg(*picks, F.max("_t").alias("n")) if keys else q.agg(*picks, F.max("_t").alias("n"))
 
 
+def medians_without(df: DataFrame, keys: Sequence[str], value: Column, fold: str, n: int, sets: dict[str, Sequence[int]],
+                    width: float = 1.0) -> DataFrame:
+    """Exact medians of each key without the rows of some folds, for every named set of folds at once.
+
+    Values are counted once per (key, value) with one count per fold; what a
+    set leaves out is subtracted from running counts, so no row is copied to
+    the sides it trains.  Rows are (keys.., set, med, n); a set that leaves no
+    row of a key has none.  Null values do not count.
+    """
+    folds = range(n)
+    x = value.cast("double")
+    counted = df.filter(x.isNotNull()).groupBy(*keys, x.alias("_x")).agg(*[F.count_if(F.col(fold) == f).alias(f"_c{f}") for f in folds])
+    counted = counted.withColumn("_kb", F.struct(*keys, _bin(F.col("_x"), width).alias("_b")))
+    bins = counted.groupBy("_kb").agg(*[F.sum(f"_c{f}").alias(f"_n{f}") for f in folds])
+    bins = bins.select("_kb", *[F.col(f"_kb.{k}").alias(k) for k in keys], F.col("_kb._b").alias("_b"), *[f"_n{f}" for f in folds])
+    key = Window.partitionBy(*keys)
+    earlier = key.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select("_kb", *[f"_n{f}" for f in folds], *[F.coalesce(F.sum(f"_n{f}").over(earlier), F.lit(0)).alias(f"_p{f}") for f in folds],
+                       *[F.sum(f"_n{f}").over(key).alias(f"_t{f}") for f in folds])
+
+    def rest(prefix: str, left_out: Sequence[int]) -> Column:
+        return sum((F.col(f"{prefix}{f}") for f in folds if f not in left_out), F.lit(0))
+
+    wanted = {}
+    for name, left_out in sets.items():
+        total = rest("_t", left_out)
+        wanted[name] = (F.floor((total - 1) / 2), F.floor(total / 2), total)
+
+    def holds(name: str, start: Column, size: Column) -> Column:
+        low, high, total = wanted[name]
+        return (total > 0) & (start <= high) & (start + size > low)
+
+    is_open = F.lit(False)
+    for name, left_out in sets.items():
+        is_open = is_open | holds(name, rest("_p", left_out), rest("_n", left_out))
+    opened = counted.join(bins.filter(is_open).drop(*[f"_n{f}" for f in folds]).withColumnRenamed("_kb", "_ob"), F.col("_kb") == F.col("_ob"))
+    inside = Window.partitionBy("_ob").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    opened = opened.select(*keys, "_x", *[f"_c{f}" for f in folds], *[f"_t{f}" for f in folds],
+                           *[(F.col(f"_p{f}") + F.coalesce(F.sum(f"_c{f}").over(inside), F.lit(0))).alias(f"_f{f}") for f in folds])
+    picks = []
+    for name, left_out in sets.items():
+        low, high, total = wanted[name]
+        start, size = rest("_f", left_out), rest("_c", left_out)
+        at = lambda rank, start=start, size=size: F.max(F.when((start <= rank) & (start + size > rank), F.col("_x")))
+        picks.append(F.struct(F.lit(name).alias("set"), ((at(low) + at(high)) / 2).alias("med"), F.max(total).alias("n")))
+    found = opened.groupBy(*keys).agg(F.array(*picks).alias("_sets"))
+    return found.select(*keys, F.explode("_sets").alias("_s")).select(*keys, "_s.*").filter("n > 0")
+
+
 def leave_one_out_medians(df: DataFrame, keys: Sequence[str], value: str, out: str, width: float = 1.0) -> DataFrame:
     """Median of the other rows of the key, for every row (null when alone).
 
@@ -281,7 +335,7 @@ def ranked(
     its own bin when an ordinal rank is asked for.
     """
     sign = -1 if descending else 1
-    rows = df.withColumn("_x", value.cast("double") * sign).withColumn("_b", _bin(F.col("_x"), width))
+    rows = df.withColumn("_x", value.cast("double") * sign).withColumn("_b", _bin(F.col("_x"), width, descending))
     out = rows
     if average:
         counted = rows.groupBy(*keys, "_b", "_x").agg(F.count(F.lit(1)).alias("_n"))

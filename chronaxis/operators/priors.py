@@ -88,8 +88,8 @@ def clamp_lookup(rows: DataFrame, curve: DataFrame, keys: Sequence[str], shift:
 
 def held_out_reference(long: DataFrame, folds: DataFrame, n: int, radius: int) -> DataFrame:
     """Smoothed group median per (vfold, video, axis, t) without the fold's own subjects."""
-    train = to_training(long.join(folds, "subject"), n)
-    curve = population_curve(train, ["vfold", "video", "axis"])
+    curve = D.medians_without(long.join(folds, "subject"), ["video", "axis", "t"], F.col("value"), "fold", n, {str(f): [f] for f in range(n)})
+    curve = curve.withColumn("vfold", F.col("set").cast("long")).drop("set")
     return smooth(curve, ["vfold", "video", "axis"], radius, {"med": "prior"})
 
 

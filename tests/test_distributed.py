@@ -159,3 +159,20 @@ def test_null_keys_nulls_and_nan_equal_duckdb(spark):
     assert plain(middle) == plain(want)
     ids = D.dense_index(df.select("k"), "k", F.substring("k", 1, 1)).collect()
     assert sorted((r["k"] or "", r["idx"]) for r in ids) == [("", 0), ("a", 1), ("b", 2), ("n", 3), ("s", 4), ("t", 5)]
+    down = D.ranked(df.filter("k IS NULL"), ["k"], F.col("x"), ["t"], descending=True).orderBy("rank").collect()
+    assert [str(r["x"]) for r in down] == ["nan", "inf", "2.0", "2.0"] and [r["t"] for r in down[2:]] == [4, 5]
+
+
+@pytest.mark.parametrize("width", [1.0, 0.01])
+def test_medians_without_folds(spark, width):
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({"k": rng.choice(["a", "b", "c"], 400, p=[0.7, 0.28, 0.02]), "x": np.round(rng.normal(0, 3, 400), 1), "fold": rng.integers(0, 4, 400)})
+    pdf.loc[pdf.k == "c", "fold"] = 2  # one side leaves nothing of this key
+    sets = {"none": [], "0": [0], "2": [2], "13": [1, 3], "012": [0, 1, 2]}
+    df = spark.createDataFrame(pdf).unionByName(spark.createDataFrame([("a", None, 0)], "k string, x double, fold long"))
+    got = {(r["k"], r["set"]): (r["med"], r["n"]) for r in D.medians_without(df, ["k"], F.col("x"), "fold", 4, sets, width).collect()}
+    want = {}
+    for name, out in sets.items():
+        for k, g in pdf[~pdf.fold.isin(out)].groupby("k"):
+            want[k, name] = (g.x.median(), len(g))
+    assert got == {k: (pytest.approx(m), n) for k, (m, n) in want.items()} and ("c", "2") not in got
