@@ -393,7 +393,10 @@ def fit(docs: DataFrame, fit_rows: int = 4000) -> Model:
     found = docs.select("text").mapInArrow(_windows, WINDOW)
     found = found.groupBy("positive", "rank").agg(F.min(F.struct("tokens", "tags", "files")).alias("w"))
     found = persisted(found, "secrets-windows")
-    parts = [found.filter(F.col("positive") == side).orderBy("rank").limit(fit_rows // 2) for side in (True, False)]
+    # Hashes are even, so a bound on them leaves little more than is taken; the order decides among those.
+    sizes = {r["positive"]: r["count"] for r in found.groupBy("positive").count().collect()}
+    bounds = {side: (1 << 32) * 2 * fit_rows // n for side, n in sizes.items()}
+    parts = [found.filter((F.col("positive") == side) & (F.col("rank") < bounds.get(side, 1 << 32))).orderBy("rank").limit(fit_rows // 2) for side in (True, False)]
     sample = parts[0].unionByName(parts[1]).select("positive", "rank", "w.*")
     # One bounded table of windows, one group; an empty side is found out by the trainer.
     got = sample.groupBy(F.lit(0).alias("_g")).applyInArrow(_guarded, "weights binary, moves binary").collect()
