@@ -92,8 +92,9 @@ def nearest_in_space(sources: DataFrame, targets: DataFrame, keys: Sequence[str]
         low, high = (F.floor((F.col(a) - F.col(f"_min_{a}") + sign * F.col("_u")) / F.col("_w")) for sign in (-1, 1))
         at = at.withColumn(f"_c_{a}", F.explode(F.sequence(low, high)))
     here = there.select(*cell, *[F.col(a).alias(f"_x_{a}") for a in axes], "_names")
-    square = reduce(lambda p, q: p + q, [(F.col(f"_x_{a}") - F.col(a)) * (F.col(f"_x_{a}") - F.col(a)) for a in axes])
-    found = at.select(*cell, *axes).join(here, cell).select(*place, F.sqrt(square).alias("_d"), "_names")
+    steps = [F.col(f"_x_{a}") - F.col(a) for a in axes]
+    distance = F.abs(steps[0]) if len(axes) == 1 else F.sqrt(reduce(lambda p, q: p + q, [s * s for s in steps]))
+    found = at.select(*cell, *axes).join(here, cell).select(*place, distance.alias("_d"), "_names")
     order = Window.partitionBy(*place).orderBy("_d", F.col("_names")[0])
     found = found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k + 1)
     named = F.transform("_names", lambda n: F.struct(F.col("_d").alias("distance"), n.alias("who")))

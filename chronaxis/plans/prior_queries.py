@@ -264,6 +264,119 @@ def _(spark, sf):
     return oof(spark, sf).join(sm, [*K3, "t"], "left").select(*K3, "t", r6(P.clip(mixed), "prior"))
 
 
+WIDE = "wide AS (SELECT subject, video, max(anchor) FILTER (axis = 0) AS v, max(anchor) FILTER (axis = 1) AS a FROM anchor GROUP BY 1, 2)"
+GAP = "sqrt((b.v - a.v) * (b.v - a.v) + (b.a - a.a) * (b.a - a.a))"
+MOST = 15  # neighbours of the widest specification
+
+
+def wide_anchors(spark, sf):
+    """Both ratings of a trial side by side."""
+    one = lambda k: F.max(F.when(F.col("axis") == k, F.col("anchor")))
+    return anchors(spark, sf).groupBy("subject", "video").agg(one(0).alias("v"), one(1).alias("a"))
+
+
+@query("jn5_joint_neighbours", with_(TRACE, LONG, ANCHOR, WIDE) + f"""SELECT subject, video, CAST(k AS INTEGER) AS rank, who, {q6('distance')} AS distance FROM (
+ SELECT a.subject, a.video, b.subject AS who, {GAP} AS distance, row_number() OVER (PARTITION BY a.subject, a.video ORDER BY {GAP}, b.subject) AS k
+ FROM wide a JOIN wide b ON a.video = b.video AND a.subject <> b.subject) WHERE k <= {MOST}""")
+def _(spark, sf):
+    """Other trials of the item nearest in both ratings."""
+    w = wide_anchors(spark, sf)
+    near = N.nearest_in_space(w, w, ["video"], ["v", "a"], "subject", MOST)
+    return near.select("subject", "video", F.posexplode("near").alias("p", "s")).select("subject", "video", (F.col("p") + 1).alias("rank"), "s.who", r6("s.distance", "distance"))
+
+
+# The retrieval specifications compared, as (mode, neighbours, mix, bandwidth), None for equal weights.
+SPECS = (
+    ("axis", 3, 0.50, None), ("axis", 5, 0.50, None), ("axis", 7, 0.75, None), ("axis", 10, 0.75, None), ("axis", 10, 1.00, None), ("axis", 15, 1.00, None),
+    ("joint", 7, 0.75, None), ("joint", 10, 0.75, None), ("joint", 10, 1.00, None), ("joint", 15, 1.00, None),
+    ("axis", 10, 0.50, 16.0), ("axis", 15, 0.50, 16.0), ("axis", 15, 0.75, 16.0), ("axis", 10, 0.75, 32.0), ("axis", 15, 0.75, 32.0), ("joint", 15, 0.75, 32.0),
+)
+
+
+def retrieval_near(spark, sf):
+    """mode, fold, subject, video, axis, rank, distance, who: neighbours among the trials of the other folds."""
+    folds = A.subject_folds(A.trace(spark, sf))
+    exact = lambda *cs: [F.round(c, 6).alias(c) for c in cs]  # noqa: E731  ratings as released, so that equal distances are ties
+    one = anchors(spark, sf).select(*K3, *exact("anchor")).join(folds, "subject")
+    both = wide_anchors(spark, sf).select("subject", "video", *exact("v", "a")).join(folds, "subject")
+    own = lambda x: x.withColumnRenamed("fold", "vfold")
+    axis = N.nearest_in_space(Fo.to_training(one, 5), own(one), ["vfold", "video", "axis"], ["anchor"], "subject", MOST)
+    joint = N.nearest_in_space(Fo.to_training(both, 5), own(both), ["vfold", "video"], ["v", "a"], "subject", MOST)
+    joint = joint.withColumn("axis", F.explode(F.array(F.lit(0), F.lit(1))))
+    parts = [x.select(F.lit(mode).alias("mode"), F.col("vfold").alias("fold"), "subject", "video", F.col("axis").cast("int").alias("axis"), F.posexplode("near").alias("rank", "s"))
+             for mode, x in (("axis", axis), ("joint", joint))]
+    return parts[0].unionByName(parts[1]).select("mode", "fold", *K3, "rank", "s.distance", "s.who")
+
+
+def retrieved(near, long, radius=3):
+    """One column per (neighbours, bandwidth): smoothed median, or weighted mean, of what the neighbours did at each second."""
+    src = long.select(F.col("subject").alias("who"), "video", "axis", "t", "value")
+    seen = near.join(src, ["who", "video", "axis"]).groupBy("mode", "fold", *K3, "t").agg(F.sort_array(F.collect_list(F.struct("rank", "distance", "value"))).alias("l"))
+    forms = {(k, h): _retrieve(k, h).alias(_form(k, h)) for _, k, _, h in SPECS}
+    cols = [_form(*f) for f in forms]
+    keys = ["mode", "fold", *K3]
+    smoothed = P.smooth(seen.select(*keys, "t", *forms.values()), keys, radius, {c: f"_s_{c}" for c in cols})
+    # Seconds that none of the nearest reaches stay without a value, whatever their neighbours in time have.
+    return smoothed.select(*keys, "t", *[F.when(F.col(c).isNotNull(), F.col(f"_s_{c}")).alias(c) for c in cols])
+
+
+def _form(k, h):
+    return f"near{k}" if h is None else f"near{k}_{h:g}"
+
+
+def _retrieve(k, h):
+    near = F.filter("l", lambda s: s["rank"] < k)
+    if h is None:
+        x = F.array_sort(F.transform(near, lambda s: s["value"]))
+        n = F.size(x)
+        return F.when(n > 0, (x[F.floor((n - 1) / 2).cast("int")] + x[F.floor(n / 2).cast("int")]) / 2)
+    least = F.array_min(F.transform(near, lambda s: s["distance"]))
+    weight = F.transform(near, lambda s: F.exp((least * least - s["distance"] * s["distance"]) / (2 * h * h)))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda p, q: p + q)
+    return F.when(F.size(near) > 0, total(F.zip_with(weight, near, lambda w, s: w * s["value"])) / total(weight))
+
+
+_SPEC_ROWS = ", ".join(f"('{m}', {k}, {mix}, {h if h else 'NULL'})" for m, k, mix, h in SPECS)
+
+RETRIEVED = f"""{ANCHOR}, {WIDE}, fa AS (SELECT subject, video, axis, round(anchor, 6) AS anchor, fold FROM anchor JOIN folds USING (subject)), fw AS (SELECT subject, video, round(v, 6) AS v, round(a, 6) AS a, fold FROM wide JOIN folds USING (subject)),
+nr AS (
+ SELECT 'axis' AS mode, a.subject, a.video, a.axis, b.subject AS who, abs(b.anchor - a.anchor) AS distance,
+  row_number() OVER (PARTITION BY a.subject, a.video, a.axis ORDER BY abs(b.anchor - a.anchor), b.subject) AS k FROM fa a JOIN fa b ON a.video = b.video AND a.axis = b.axis AND a.fold <> b.fold
+ UNION ALL SELECT 'joint', a.subject, a.video, x.axis, b.subject, {GAP}, row_number() OVER (PARTITION BY a.subject, a.video, x.axis ORDER BY {GAP}, b.subject)
+ FROM fw a JOIN fw b ON a.video = b.video AND a.fold <> b.fold CROSS JOIN (SELECT unnest([0, 1]) AS axis) x),
+sp(mode, k, mix, h) AS (VALUES {_SPEC_ROWS}),
+nk AS (SELECT sp.*, subject, video, axis, who, distance, min(distance) OVER (PARTITION BY sp.mode, sp.k, sp.mix, sp.h, subject, video, axis) AS least FROM nr JOIN sp ON sp.mode = nr.mode AND nr.k <= sp.k WHERE nr.k <= {MOST}),
+rv AS (
+ SELECT mode, k, mix, h, nk.subject, nk.video, nk.axis, l.t, CASE WHEN h IS NULL THEN quantile_cont(l.value, 0.5)
+  ELSE sum(exp(-0.5 * (distance / h) * (distance / h)) * l.value) / sum(exp(-0.5 * (distance / h) * (distance / h))) END AS x
+ FROM nk JOIN long l ON l.subject = nk.who AND l.video = nk.video AND l.axis = nk.axis GROUP BY mode, k, mix, h, nk.subject, nk.video, nk.axis, l.t),
+rs AS (SELECT *, avg(x) OVER (PARTITION BY mode, k, mix, h, subject, video, axis ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS s FROM rv)"""
+
+
+@query("ts15_retrieval_grid", OOF_ALL + f""", {RETRIEVED},
+er AS (
+ SELECT sp.mode, sp.k, sp.mix, sp.h, o.subject, o.video,
+  avg(abs(least(greatest((1 - sp.mix) * o.prior + sp.mix * coalesce(rs.s, o.prior), 1), 255) - o.value)) AS e
+ FROM oof o CROSS JOIN sp LEFT JOIN rs ON rs.mode = sp.mode AND rs.k = sp.k AND rs.mix = sp.mix AND rs.h IS NOT DISTINCT FROM sp.h
+  AND rs.subject = o.subject AND rs.video = o.video AND rs.axis = o.axis AND rs.t = o.t GROUP BY sp.mode, sp.k, sp.mix, sp.h, o.subject, o.video)
+SELECT mode, CAST(k AS INTEGER) AS neighbours, CAST(mix AS DOUBLE) AS mix, CAST(h AS DOUBLE) AS bandwidth, count(*) AS trials, {q6('avg(e)')} AS mae FROM er GROUP BY mode, k, mix, h""")
+def _(spark, sf):
+    """Held-out error of every retrieval specification: axis and joint neighbours, all numbers, mixes and bandwidths."""
+    t = retrieval_errors(spark, sf)
+    pick = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(k).alias("neighbours"), F.lit(mix).alias("mix"), F.lit(h).cast("double").alias("bandwidth"), F.col(f"e{i}").alias("e"))
+                     for i, (m, k, mix, h) in enumerate(SPECS)])
+    rows = t.select("mode", F.explode(pick).alias("s")).filter(F.col("mode") == F.col("s.m")).select("mode", "s.neighbours", "s.mix", "s.bandwidth", "s.e")
+    return rows.groupBy("mode", "neighbours", "mix", "bandwidth").agg(F.count(F.lit(1)).alias("trials"), r6(F.avg("e"), "mae"))
+
+
+def retrieval_errors(spark, sf):
+    """Per mode and trial the mean error of every specification (e0, e1, ..)."""
+    found = retrieved(retrieval_near(spark, sf), long_rows(spark, sf)).drop("fold")
+    rows = oof(spark, sf).withColumn("mode", F.explode(F.array(F.lit("axis"), F.lit("joint")))).join(found, ["mode", *K3, "t"], "left")
+    mixed = lambda k, mix, h: P.clip((1 - mix) * F.col("prior") + mix * F.coalesce(_form(k, h), "prior"))
+    return rows.groupBy("mode", "fold", "subject", "video").agg(*[F.avg(F.abs(mixed(k, mix, h) - F.col("value"))).alias(f"e{i}") for i, (_, k, mix, h) in enumerate(SPECS)])
+
+
 @query("ts16_functional_anchor_prior", with_(TRACE, LONG, FOLDS, TRAIN.replace("train AS", "tr AS").replace("l.video, l.t", "l.subject, l.video, l.t"), ANCHOR) + f""",
 cen AS (SELECT g.vfold, a.video, a.axis, quantile_cont(a.anchor, 0.5) AS centre FROM anchor a JOIN folds USING (subject) JOIN (SELECT unnest(range(5)) AS vfold) g ON g.vfold <> folds.fold GROUP BY 1, 2, 3),
 den AS (SELECT c.vfold, c.video, c.axis, sum(pow(a.anchor - centre, 2)) + 50 AS d FROM cen c JOIN anchor a ON a.video = c.video AND a.axis = c.axis JOIN folds ON folds.subject = a.subject AND folds.fold <> c.vfold GROUP BY 1, 2, 3),

@@ -13,8 +13,7 @@ def plain(sources, targets, dims, k):
         rest = []
         for other, *x, who in sources:
             if other == key and who != me and all(v is not None for v in x):
-                square = sum((a - b) * (a - b) for a, b in zip(x, at)) if dims > 1 else (x[0] - at[0]) ** 2
-                rest.append((square**0.5, who))
+                rest.append((abs(x[0] - at[0]) if dims == 1 else sum((a - b) * (a - b) for a, b in zip(x, at)) ** 0.5, who))
         out[key, me] = sorted(rest)[:k]
     return out
 
