@@ -20,13 +20,15 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in no language: null text and text without a letter.
+    """Drop documents in no language (null text, text without a letter) and name the language of those that do not say it.
 
-    Where no language can be learned, every text with a letter stays.
+    A document's own ``lang`` stays; a null one becomes the predicted language.
+    Where no language can be learned, every text with a letter stays, unnamed.
     """
     prepared(tune(spark))
-    found = langid.predict(docs.select(COLUMNS), langid.fit(docs), carry=True)
-    return found.filter("lettered").select("row.*")
+    found = langid.predict(docs.select(COLUMNS), langid.fit(docs), carry=True).filter("lettered")
+    named = F.coalesce("row.lang", F.when(F.col("lang_pred") != langid.UNDECIDED, F.col("lang_pred"))).alias("lang")
+    return found.select("row.doc_id", "row.text", named, "row.source", "row.n_chars")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
