@@ -9,6 +9,8 @@ A trial longer than ``LONG`` seconds is never gathered.  Its chunks are solved
 as small transfer matrices (cost from every entry offset to every exit offset),
 the matrices are combined, and each chunk is then decoded from its own entry
 costs and exit offset.  The band keeps such a summary at (2*band+1)^2 numbers.
+Objectives with a ratio repeat this with another price per node or move until
+the ratio is proven best.
 """
 
 from __future__ import annotations
@@ -21,12 +23,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import parked
 from . import distributed as D
 from . import priors as P
 from . import windows as Wn
 
 LONG = 65536
-MIXED = 1024  # the mixed objective keeps a cost per path length
+MIXED = 1024  # up to here the mixed objective keeps a cost per path length
 RESULT = "struct<w:array<int>,local_cost:double,warp_cost:double,steps:int,path_length:int>"
 
 
@@ -266,28 +269,107 @@ def solve(sig: DataFrame, keys: Sequence[str], s: WarpSettings, long: int | None
     if s.objective == "mixed_step_mean":
         long = min(long, MIXED)
     size = sig.groupBy(*keys).agg((F.max("t") + 1).alias("n"))
-    any_long = not size.filter(F.col("n") > long).isEmpty()
-    short = D.attach(sig, size.filter(F.col("n") <= long), keys, size=long) if any_long else sig
+    short = D.attach(sig, size.filter(F.col("n") <= long), keys, size=long)
     got = short.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("t", "p", "m"))).alias("_s"))
     got = got.withColumn("_r", mapping_udf(s)(F.col("_s.p"), F.col("_s.m"))).select(*keys, F.lit(0).cast("long").alias("start"), "_r.*")
-    if not any_long:
-        return got
-    if s.objective in ("path_mean", "mixed_step_mean"):
-        raise ValueError(f"{s.objective} needs whole trials; some exceed {long} seconds")
-    return got.unionByName(_solve_long(D.attach(sig, size.filter(F.col("n") > long), keys, size=long), keys, s, long))
+    parts = _chunks(D.attach(sig, size.filter(F.col("n") > long), keys, size=long), keys, s, long)
+    search = {"path_mean": _path_mean, "mixed_step_mean": _mixed_step}.get(s.objective)
+    if search is None:
+        fixed = parts.withColumn("step", F.lit(step_of(s))).withColumn("offset", F.lit(0.0))
+        return got.unionByName(_solve_chunks(fixed, keys, s, long))
+    parts = parked(parts, "chunks")
+    return got.unionByName(_solve_chunks(_with(parts, search(parts, keys, s, long), keys), keys, s, long))
 
 
-def _solve_long(sig: DataFrame, keys: Sequence[str], s: WarpSettings, size: int) -> DataFrame:
-    width, reach, step = 2 * s.band + 1, s.band, step_of(s)
+def _with(parts: DataFrame, settings: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Chunks with the step and offset of their trial (and further columns of the settings)."""
+    return D._matched(parts, settings, keys)
+
+
+def _priced(parts: DataFrame, settings: DataFrame, keys: Sequence[str], s: WarpSettings, size: int) -> DataFrame:
+    """Settings with the cost, sideways moves and nodes of the path they lead to."""
+    asked = settings.select(*keys, "step", "offset")
+    whole = costs(_solve_chunks(_with(parts, asked, [k for k in keys if k in parts.columns]), keys, s, size), keys)
+    return D._matched(settings, whole.select(*keys, (F.col("local_cost") + F.col("warp_cost")).alias("cost"), "steps", "path_length"), keys)
+
+
+def _path_mean(parts: DataFrame, keys: Sequence[str], s: WarpSettings, size: int) -> DataFrame:
+    """The offset per node at which a trial's cheapest path costs nothing: its least cost per node.
+
+    Every round solves all trials that still move with their last ratio; the
+    offset kept is the one whose path is returned.
+    """
+    step = step_of(s)
+    now = parked(parts.select(*keys).distinct().select(*keys, F.lit(step).alias("step"), F.lit(0.0).alias("offset")), "ratios")
+    ended = now.filter(F.lit(False))
+    for turn in range(31):
+        priced = _priced(parts, now, keys, s, size)
+        ratio = (F.col("cost") + step * F.col("steps")) / F.greatest(F.col("path_length"), F.lit(1))
+        moved = parked(priced.select(*keys, "step", "offset", ratio.alias("_new")), "ratios")
+        moves = F.lit(True) if turn == 0 else F.abs(F.col("_new") - F.col("offset")) >= 1e-10
+        ended = ended.unionByName(moved.filter(~moves).drop("_new"))
+        now = moved.filter(moves).select(*keys, "step", F.col("_new").alias("offset"))
+        if moved.agg(F.count_if(moves)).first()[0] == 0:
+            return ended
+    return ended.unionByName(now)
+
+
+def _mixed_step(parts: DataFrame, keys: Sequence[str], s: WarpSettings, size: int) -> DataFrame:
+    """The price per sideways move whose cheapest path also minimizes step_penalty * K / L.
+
+    With d diagonal moves a trial of n seconds has K = 2(n-1-d) and
+    L = 2n-1-d, so K / L is a concave falling function of d.  The best path is
+    therefore a corner of the lower hull of (d, cost), and its price lies
+    between the slopes of that function at its ends.  Corners are listed from
+    both end prices inwards: a price between two neighbours either finds a
+    corner below their line or proves that there is none.
+    """
+    n = F.col("n").cast("double")
+    ends = parts.groupBy(*keys).agg(F.max("n").alias("n"))
+    slopes = [s.step_penalty * 2 * n / ((2 * n - 1) * (2 * n - 1)), s.step_penalty * 2 / n]
+    ask = ends.select(*keys, "n", F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("q"), (x / 2).alias("step")) for i, x in enumerate(slopes)])).alias("_a"))
+    key = [*keys, "q"]
+
+    def corners(asked: DataFrame) -> DataFrame:
+        priced = _priced(parts, asked.withColumn("offset", F.lit(0.0)), key, s, size)
+        return parked(priced.withColumn("d", 2 * F.col("n") - 1 - F.col("path_length")), "corners")
+
+    def named(df: DataFrame, side: str) -> DataFrame:
+        return df.select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in ("d", "cost")])
+
+    found = corners(parked(ask.select(*keys, "n", "_a.*"), "prices"))
+    every = found.select(*keys, "n", "step", "d", "cost")
+    gaps = parked(D._matched(named(found.filter("q = 0"), "lo"), found.filter("q = 1").select(*keys, "n", F.col("d").alias("hi_d"), F.col("cost").alias("hi_cost")), keys).filter("lo_d < hi_d"), "gaps")
+    while gaps.agg(F.count(F.lit(1))).first()[0]:
+        price = (F.col("hi_cost") - F.col("lo_cost")) / (F.col("hi_d") - F.col("lo_d"))
+        asked = parked(gaps.select("*", F.xxhash64("lo_d", "hi_d").alias("q"), (price / 2).alias("step")), "prices")
+        got = corners(asked)
+        below = (F.col("cost") - 2 * F.col("step") * F.col("d")) < (F.col("lo_cost") - 2 * F.col("step") * F.col("lo_d")) - 1e-9
+        fresh = got.filter(below & (F.col("d") > F.col("lo_d")) & (F.col("d") < F.col("hi_d")))
+        every = every.unionByName(fresh.select(*keys, "n", "step", "d", "cost"))
+        halves = F.array(F.struct("lo_d", "lo_cost", F.col("d").alias("hi_d"), F.col("cost").alias("hi_cost")),
+                         F.struct(F.col("d").alias("lo_d"), F.col("cost").alias("lo_cost"), "hi_d", "hi_cost"))
+        gaps = parked(fresh.select(*keys, "n", F.explode(halves).alias("_h")).select(*keys, "n", "_h.*"), "gaps")
+    total = F.col("cost") + s.step_penalty * 2 * (F.col("n") - 1 - F.col("d")) / (2 * F.col("n") - 1 - F.col("d"))
+    best = every.groupBy(*keys).agg(F.min(F.struct(total.alias("x"), (-F.col("d")).alias("d"), "step")).alias("_b"))
+    return parked(best.select(*keys, F.col("_b.step").alias("step"), F.lit(0.0).alias("offset")), "prices")
+
+
+def _chunks(sig: DataFrame, keys: Sequence[str], s: WarpSettings, size: int) -> DataFrame:
+    """One row per chunk of a trial: its own seconds, and the reference with the band on both sides."""
     at = F.col("t")
-    first = F.greatest(F.lit(0).cast("long"), F.floor((at - reach) / size))
-    last = F.least(F.floor((F.col("n") - 1) / size), F.floor((at + reach) / size))
+    first = F.greatest(F.lit(0).cast("long"), F.floor((at - s.band) / size))
+    last = F.least(F.floor((F.col("n") - 1) / size), F.floor((at + s.band) / size))
     copies = sig.withColumn("c", F.explode(F.sequence(first, last)))
     own = F.floor(at / size) == F.col("c")
-    # a task sees one chunk plus the band on both sides
-    parts = copies.groupBy(*keys, "c").agg(
+    return copies.groupBy(*keys, "c").agg(
         F.sort_array(F.collect_list(F.when(own, F.struct("t", "p")))).alias("_p"), F.sort_array(F.collect_list(F.struct("t", "m"))).alias("_m"),
-        F.max("n").alias("n"), F.min("t").alias("j0")).select(*keys, "c", "n", "j0", F.col("_p.p").alias("p"), F.col("_m.m").alias("m")).persist()
+        F.max("n").alias("n"), F.min("t").alias("j0")).select(*keys, "c", "n", "j0", F.col("_p.p").alias("p"), F.col("_m.m").alias("m"))
+
+
+def _solve_chunks(parts: DataFrame, keys: Sequence[str], s: WarpSettings, size: int) -> DataFrame:
+    """Mappings of all chunks; every trial has its own ``step`` (per sideways move) and ``offset`` (per node)."""
+    width, reach = 2 * s.band + 1, s.band
 
     def block(p, m, k, copies_):
         a = np.broadcast_to(np.stack(p.iloc[k]).astype(np.float64), (copies_, len(p.iloc[k]), len(p.iloc[k][0])))
@@ -299,14 +381,14 @@ def _solve_long(sig: DataFrame, keys: Sequence[str], s: WarpSettings, size: int)
             return None
         return [np.full(copies_, x) for x in entry]
 
-    def transfer(p: pd.Series, m: pd.Series, c: pd.Series, n: pd.Series, j0: pd.Series) -> pd.Series:
+    def transfer(p: pd.Series, m: pd.Series, c: pd.Series, n: pd.Series, j0: pd.Series, step: pd.Series, off: pd.Series) -> pd.Series:
         out = []
         for k in range(len(p)):
             a, b = block(p, m, k, width)
             e = None if c.iloc[k] == 0 else [np.where(np.arange(width) == o, 0.0, np.inf) for o in range(width)]
-            end, _b = forward(a, b, s, step, np.zeros(width), int(c.iloc[k]) * size, int(j0.iloc[k]), int(n.iloc[k]), e)
+            end, _b = forward(a, b, s, step.iloc[k], np.full(width, off.iloc[k]), int(c.iloc[k]) * size, int(j0.iloc[k]), int(n.iloc[k]), e)
             out.append(np.stack(end, axis=1).ravel())
-        return pd.Series(out)
+        return pd.Series(out, dtype=object)
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         """Entry costs of every chunk from the transfer matrices before it."""
@@ -318,20 +400,20 @@ def _solve_long(sig: DataFrame, keys: Sequence[str], s: WarpSettings, size: int)
             entry = t[0] if len(out) == 1 else (entry[:, None] + t).min(axis=0)
         return pdf[[*keys, "c"]].assign(entry=out)
 
-    def exits(p: pd.Series, m: pd.Series, c: pd.Series, n: pd.Series, j0: pd.Series, entry: pd.Series) -> pd.Series:
+    def exits(p: pd.Series, m: pd.Series, c: pd.Series, n: pd.Series, j0: pd.Series, step: pd.Series, off: pd.Series, entry: pd.Series) -> pd.Series:
         """For each exit offset of the chunk, the offset its path came in with."""
         out = []
         for k in range(len(p)):
             a, b = block(p, m, k, width)
             i0, jj = int(c.iloc[k]) * size, int(j0.iloc[k])
-            end, back = forward(a, b, s, step, np.zeros(width), i0, jj, int(n.iloc[k]), starts(c.iloc[k], entry.iloc[k], width))
+            end, back = forward(a, b, s, step.iloc[k], np.full(width, off.iloc[k]), i0, jj, int(n.iloc[k]), starts(c.iloc[k], entry.iloc[k], width))
             sound = np.isfinite([end[o][0] for o in range(width)])
             came = np.full(width, -1)
             if sound.any():
                 o = np.flatnonzero(sound)
                 came[o] = backward(a[o], b[o], s, back[:, :, o], o, i0, jj)[-1]
             out.append(came.astype(np.int32))
-        return pd.Series(out)
+        return pd.Series(out, dtype=object)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         """Exit offset of every chunk, from the last one back."""
@@ -342,18 +424,18 @@ def _solve_long(sig: DataFrame, keys: Sequence[str], s: WarpSettings, size: int)
             o = came[o]
         return pdf[[*keys, "c"]].assign(leave=out)
 
-    def decode(p: pd.Series, m: pd.Series, c: pd.Series, n: pd.Series, j0: pd.Series, entry: pd.Series, leave: pd.Series) -> pd.DataFrame:
+    def decode(p: pd.Series, m: pd.Series, c: pd.Series, n: pd.Series, j0: pd.Series, step: pd.Series, off: pd.Series, entry: pd.Series, leave: pd.Series) -> pd.DataFrame:
         rows = []
         for k in range(len(p)):
             a, b = block(p, m, k, 1)
             i0, jj = int(c.iloc[k]) * size, int(j0.iloc[k])
-            _e, back = forward(a, b, s, step, np.zeros(1), i0, jj, int(n.iloc[k]), starts(c.iloc[k], entry.iloc[k], 1))
+            _e, back = forward(a, b, s, step.iloc[k], np.full(1, off.iloc[k]), i0, jj, int(n.iloc[k]), starts(c.iloc[k], entry.iloc[k], 1))
             low, high, lc, wc, st, ln, _x = backward(a, b, s, back, [leave.iloc[k]], i0, jj)
             rows.append((np.clip(np.floor((low[0] + high[0]) / 2.0 + 0.5), 0, n.iloc[k] - 1).astype(np.int32), lc[0], wc[0], int(st[0]), int(ln[0])))
         return pd.DataFrame(rows, columns=["w", "local_cost", "warp_cost", "steps", "path_length"])
 
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sig.schema.fields if f.name in keys)
-    args = [F.col(x) for x in ("p", "m", "c", "n", "j0")]
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema.fields if f.name in keys)
+    args = [F.col(x) for x in ("p", "m", "c", "n", "j0", "step", "offset")]
     t = parts.select(*keys, "c", F.pandas_udf(transfer, "array<double>")(*args).alias("T"))
     entry = t.groupBy(*keys).applyInPandas(chain, f"{ddl}, c long, entry array<double>")
     ready = parts.join(entry, [*keys, "c"])

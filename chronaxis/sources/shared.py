@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,3 +43,11 @@ def written(spark: SparkSession, name: str, scope: str, build: Callable[[], Data
         _WRITTEN[key] = (path, df.schema)
     path, schema = _WRITTEN[key]
     return spark.read.schema(schema).parquet(path)
+
+
+def parked(df: DataFrame, name: str) -> DataFrame:
+    """Write a table of an iteration under a name of its own, and scan it from there."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/chronaxis/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

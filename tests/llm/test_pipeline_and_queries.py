@@ -103,3 +103,11 @@ def test_mixing_query_covers_all_rows(spark, sf):
     got = llm.QUERIES["op9_source_mixing"](spark, sf)
     assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert got.filter(F.col("rate") < 0).count() == 0 and np.isfinite(got.agg(F.sum("rate")).first()[0])
+
+
+def test_language_stage_names_unnamed_documents(spark, fixture):
+    folder, docs = fixture
+    unnamed = {d for d, *_ in docs[:240:7]}
+    some = spark.createDataFrame([(d, t, None if d in unnamed else lang, s, n) for d, t, lang, s, n in docs[:240]], DOCS)
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, some, folder).collect()}
+    assert got == {d: lang for d, _, lang, *_ in docs[:240]}

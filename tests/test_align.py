@@ -96,7 +96,8 @@ def test_chunked_trials_equal_whole_ones(spark):
     rng = np.random.default_rng(9)
     rows = [(k, t, [float(a)], [float(b)]) for k, n in ((1, 90), (2, 41), (3, 7)) for t, (a, b) in enumerate(zip(rng.normal(size=n).cumsum(), rng.normal(size=n).cumsum()))]
     sig = spark.createDataFrame(rows, "k long, t long, p array<double>, m array<double>")
-    for s in (Al.WarpSettings(band=4), Al.WarpSettings(band=4, objective="step_zero")):
+    for s in (Al.WarpSettings(band=4), Al.WarpSettings(band=4, objective="step_zero"), Al.WarpSettings(band=4, objective="path_mean"),
+              Al.WarpSettings(band=4, objective="mixed_step_mean", step_penalty=8.0)):
         whole, cut = Al.solve(sig, ["k"], s), Al.solve(sig, ["k"], s, long=16)
         a = Al.seconds(whole, ["k"]).toPandas().sort_values(["k", "t"])
         b = Al.seconds(cut, ["k"]).toPandas().sort_values(["k", "t"])
