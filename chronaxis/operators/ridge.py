@@ -117,21 +117,3 @@ def inflation(g: DataFrame, key: str) -> DataFrame:
         return pd.DataFrame({key: pdf[key].iloc[0], "i": np.arange(d - 1), "vif": np.diag(inv)})
 
     return g.groupBy(key).applyInPandas(factors, f"{key} long, i int, vif double")
-
-
-def leading_directions(g: DataFrame, key: str, rank: int) -> DataFrame:
-    """(key, r, i, load): leading eigenvectors of each key's item Gram, sign fixed by the largest entry."""
-
-    def vectors(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = int(pdf["i"].max()) + 1
-        full = np.zeros((d, d))
-        full[pdf["i"], pdf["j"]] = pdf["v"]
-        _, v = np.linalg.eigh(full)
-        out = []
-        for r in range(min(rank, d)):
-            e = v[:, d - 1 - r]
-            e = e * np.sign(e[np.argmax(np.abs(e))])
-            out.append(pd.DataFrame({key: pdf[key].iloc[0], "r": r, "i": np.arange(d), "load": e}))
-        return pd.concat(out)
-
-    return g.groupBy(key).applyInPandas(vectors, f"{key} long, r int, i int, load double")
