@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronaxis.operators import align as Al
-from chronaxis.plans.content_queries import content_map
 
 
 def plain(p, m, band, warp, step):
@@ -104,27 +103,3 @@ def test_chunked_trials_equal_whole_ones(spark):
         assert a.w.tolist() == b.w.tolist()
         ca, cb = Al.costs(whole, ["k"]).toPandas().sort_values("k"), Al.costs(cut, ["k"]).toPandas().sort_values("k")
         assert np.allclose(ca.drop(columns="k"), cb.drop(columns="k"))
-
-
-def test_content_map_matches_cellwise_programme():
-    rng = np.random.default_rng(4)
-    for n, m in ((6, 9), (8, 8), (5, 3)):
-        a, b = rng.normal(size=(n, 5)), rng.normal(size=(m, 5))
-        a, b = a / np.linalg.norm(a, axis=1, keepdims=True), b / np.linalg.norm(b, axis=1, keepdims=True)
-        got = content_map(a, b, 0.6, 0.1)
-        total, way = {}, {}
-        for i in range(n):
-            for j in range(m):
-                gap = abs(i / max(n - 1, 1) - j / max(m - 1, 1))
-                here = np.inf if gap > 0.6 else 1 - a[i] @ b[j] + 0.1 * gap
-                if (i, j) == (0, 0):
-                    total[i, j] = here
-                    continue
-                options = [(total[q], c, q) for c, q in ((1, (i - 1, j)), (2, (i, j - 1)), (3, (i - 1, j - 1))) if q in total]
-                best = min(options, key=lambda o: (o[0], o[1]))
-                total[i, j], way[i, j] = here + best[0], best[2]
-        at, seen = (n - 1, m - 1), {}
-        while at is not None:
-            seen.setdefault(at[0], []).append(at[1])
-            at = way.get(at)
-        assert np.allclose(got, [np.mean(seen[i]) for i in range(n)])
