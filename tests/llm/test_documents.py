@@ -197,6 +197,22 @@ def test_chat_read_back(spark):
     assert chat.conversation_streams(df.limit(0)).count() == 0
 
 
+def test_chat_long_conversation(spark):
+    rng = random.Random(6)
+    turns = [(7, t, "assistant" if t % 2 else "user", rng.choice(["<|x", "&", "", "some words"]) * (t % 5)) for t in range(3001)]
+    streams = chat.conversation_streams(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    stream = streams.select("stream").first().stream
+    rows = chat.prefix_examples(streams).orderBy("example").collect()
+    assert [r.example for r in rows] == list(range(1500))
+    at, want = 0, []
+    for _c, _t, role, text in turns:
+        head, body = f"<|im_start|>{role}\n", text.replace("&", "&amp;").replace("<|", "&lt;|")
+        if role == "assistant":
+            want.append((at, at + len(head), at + len(head) + len(body), at + len(head) + len(body) + 11, body))
+        at += len(head) + len(body) + 11
+    assert [(r.context_end, r.loss_start, r.loss_end, r.chars, r.reply) for r in rows] == want and len(stream) == at
+
+
 # --- op7 ---------------------------------------------------------------
 
 def test_language_on_held_out_rows(spark, sf):
