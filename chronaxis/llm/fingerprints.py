@@ -1,6 +1,6 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs.
 
-Every paragraph is hashed to a wide vector and a document's fingerprint is the
+Paragraphs are lines, cut further at content-defined points.  Every paragraph is hashed to a wide vector and a document's fingerprint is the
 sum of its paragraphs' vectors, lane by lane modulo a power of two.  Order does
 not matter, and a paragraph is inserted or deleted by adding or subtracting its
 vector.  Three groups of lanes:
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import partitions
 
 STRONG, SIGNS = 8, 128
+WINDOW, CUT_BITS = 8, 6  # code points that decide on a cut; one place in 2^CUT_BITS is one
+BLOCK = 1 << 20  # code points hashed at a time
 _BITS = SIGNS // 8
 
 
@@ -94,9 +96,41 @@ def likeness(a: str, b: str) -> float:
     return float(min(1.0, max(0.0, 1.0 - (apart @ apart / SIGNS) / max(wa + wb, 1))))
 
 
+def _cuts(text: str) -> list[int]:
+    """Where lines are cut by content: where a hash of the last ``WINDOW`` code points of the line says so."""
+    out = []
+    for base in range(0, len(text) - WINDOW + 1, BLOCK):
+        code = np.frombuffer(text[base:base + BLOCK + WINDOW - 1].encode("utf-32-le", "surrogatepass"), "<u4")
+        h = np.zeros(len(code) - WINDOW + 1, np.uint32)
+        for k in range(WINDOW):
+            h *= np.uint32(0x01000193)
+            h += code[k:k + len(h)]
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x9E3779B1)
+        ends = np.flatnonzero(h >> np.uint32(32 - CUT_BITS) == 0) + (base + WINDOW)
+        out += [i for i in ends.tolist() if "\n" not in text[i - WINDOW:i]]
+    return out
+
+
+def _pieces(text: str) -> list[str]:
+    """Lines, long ones in pieces; a piece that its line continues ends in a newline, which no line holds."""
+    out, start = [], 0
+    for cut in _cuts(text):
+        lines = text[start:cut].split("\n")
+        lines[-1] += "\n"
+        out += lines
+        start = cut
+    return out + text[start:].split("\n")
+
+
 def paragraphs(text: str) -> list[str]:
-    """Lines of the text; an empty text has none."""
-    return text.split("\n") if text else []
+    """Paragraphs of the text: its lines, cut further at content-defined points; an empty text has none.
+
+    A cut follows from the code points just before it in its line (one place in
+    2^CUT_BITS on average), so an edit changes the paragraphs it touches only,
+    also in a text without any newline.
+    """
+    return _pieces(text) if text else []
 
 
 def fingerprint(text: str) -> str:
@@ -117,8 +151,8 @@ def _edit(text: str, following: str, own: Sums) -> tuple[str, Sums]:
     if m == 0:
         return edited, own
     whole = kept.rfind("\n") + 1  # paragraphs that end before here stay
-    sums = own.copy().add(text[whole:].split("\n"), -1)
-    return edited, sums.add(edited[whole:].split("\n"))
+    sums = own.copy().add(_pieces(text[whole:]), -1)
+    return edited, sums.add(_pieces(edited[whole:]))
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

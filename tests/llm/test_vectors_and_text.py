@@ -65,6 +65,25 @@ def test_fingerprint_is_a_multiset_hash():
     assert fingerprints.likeness(fingerprints.fingerprint("\n".join(long)), fingerprints.fingerprint("\n".join("other %d words here and there" % i for i in range(300)))) < 0.35
 
 
+def test_paragraphs_without_newlines(monkeypatch):
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(600))
+    other = " ".join("".join(rng.choice("klmnopqrst") for _ in range(rng.randint(2, 9))) for _ in range(600))
+    mark = fingerprints.fingerprint(text)
+    edited = text[:len(text) - len(text) // 3] + other[:len(text) // 3]
+    assert 0.4 < fingerprints.likeness(mark, fingerprints.fingerprint(edited)) < 0.95
+    assert fingerprints.likeness(mark, fingerprints.fingerprint("inserted " + text)) > 0.6
+    assert fingerprints.likeness(mark, fingerprints.fingerprint(other)) < 0.35
+    cut = fingerprints.paragraphs(text)
+    assert len(cut) > 20 and "".join(p.removesuffix("\n") for p in cut) == text
+    # cuts depend on their own line only, and a cut is not a newline
+    assert fingerprints.paragraphs(text + "\n" + other) == cut + fingerprints.paragraphs(other)
+    assert fingerprints.fingerprint("\n".join(p.removesuffix("\n") for p in cut)) != mark
+    monkeypatch.setattr(fingerprints, "BLOCK", 97)
+    assert fingerprints.paragraphs(text) == cut
+    assert fingerprints.paragraphs("") == [] and fingerprints.paragraphs("\n") == ["", ""] and fingerprints.paragraphs("short") == ["short"]
+
+
 @pytest.mark.parametrize("rows", [
     [(5, "a\nb\nccc"), (9, "x\ny"), (2, None), (7, ""), (1, "é\n日本 text " * 50), (9, "x\ny")],
     [(4, "alone\nhere")],
