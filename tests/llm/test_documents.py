@@ -235,6 +235,48 @@ def test_language_edge_cases(spark):
     assert {r.lang_pred for r in langid.predict(docs, langid.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def test_language_equals_exact_sets(spark, sf):
+    """Bloom filters against exact n-gram sets per language: same language, nearly the same share."""
+    def cut(text):
+        padded = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+        for n in langid.ORDERS:
+            for k in range(len(padded) - n + 1):
+                if padded[k:k + 2] != "  ":
+                    yield padded[k:k + n]
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    rows = docs.collect()
+    outside = {r.doc_id for r in docs.filter(~langid.held_out(F.col("doc_id"))).collect()}
+    counts, sizes, many = {}, {}, {}
+    for r in rows:
+        if r.doc_id in outside and r.text is not None and r.lang is not None:
+            sizes[r.lang] = sizes.get(r.lang, 0) + len(r.text) * len(langid.ORDERS)
+            many[r.lang] = many.get(r.lang, 0) + 1
+            for g in cut(r.text):
+                at = counts.setdefault(g, {})
+                at[r.lang] = at.get(r.lang, 0) + 1
+    languages = sorted(many, key=lambda name: (-many[name], name))
+    known = {}
+    for g, at in counts.items():
+        rates = {name: c / max(sizes[name], 1) for name, c in at.items() if c / max(sizes[name], 1) >= 2e-5}
+        known[g] = [name for name, x in rates.items() if x >= 0.2 * max(rates.values())]
+    got = {r.doc_id: r for r in langid.predict(docs, langid.fit(docs)).collect()}
+    apart = []
+    for r in rows:
+        if not any(c.isalpha() for c in r.text or ""):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        hits = dict.fromkeys(languages, 0)
+        for g in cut(r.text):
+            for name in known.get(g, ()):
+                hits[name] += 1
+        first, second = sorted(hits.values(), reverse=True)[:2]
+        if first > 1.05 * second + 5:  # closer ones may turn on a false positive
+            assert got[r.doc_id].lang_pred == max(languages, key=hits.get), r.doc_id
+        apart.append(abs(got[r.doc_id].score - first / max(sum(hits.values()), 1)))
+    assert len(apart) > 150 and max(apart) < 0.01
+
+
 def test_filter_lookup_returns_every_language():
     masks = np.zeros((2, 1 << langid.SLOT_BITS), np.int64)
     masks[0], masks[1] = 0b101, 0b1
