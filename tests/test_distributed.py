@@ -176,3 +176,17 @@ def test_medians_without_folds(spark, width):
         for k, g in pdf[~pdf.fold.isin(out)].groupby("k"):
             want[k, name] = (g.x.median(), len(g))
     assert got == {k: (pytest.approx(m), n) for k, (m, n) in want.items()} and ("c", "2") not in got
+
+
+def test_medians_round_once(spark):
+    """(a + b) / 2 of every pair, to the last bit: else equal ratings are no ties."""
+    values = [1 + k * 254 / 99 for k in range(100)]
+    pairs = [(i, x) for i, (a, b) in enumerate((a, b) for a in values for b in values[::7]) for x in (a, b)]
+    got = D.quantiles(spark.createDataFrame(pairs, "k long, x double"), ["k"], F.col("x"), {"m": 0.5}).collect()
+    assert {r["k"]: r["m"] for r in got} == {k: (pairs[2 * k][1] + pairs[2 * k + 1][1]) / 2 for k in range(len(pairs) // 2)}
+
+
+def test_quantiles_at_one_rank_keep_infinite_values(spark):
+    rows = spark.createDataFrame([(float("-inf"),), (1.0,), (float("inf"),)], "x double")
+    got = D.quantiles(rows, [], F.col("x"), {"low": 0.0, "mid": 0.5, "high": 1.0}).first()
+    assert (got["low"], got["mid"], got["high"]) == (float("-inf"), 1.0, float("inf"))
