@@ -103,3 +103,11 @@ def test_chunked_trials_equal_whole_ones(spark):
         assert a.w.tolist() == b.w.tolist()
         ca, cb = Al.costs(whole, ["k"]).toPandas().sort_values("k"), Al.costs(cut, ["k"]).toPandas().sort_values("k")
         assert np.allclose(ca.drop(columns="k"), cb.drop(columns="k"))
+
+
+def test_aligned_trials_are_written_once(spark):
+    """Nothing that reads a mapping solves its trials again."""
+    rows = spark.range(40).selectExpr("id % 2 AS k", "id div 2 AS t", "CAST(id * id % 17 AS DOUBLE) AS value", "CAST(id % 13 AS DOUBLE) AS prior")
+    got = Al.align(rows, ["k"], Al.WarpSettings())
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.count() == 40
