@@ -60,6 +60,16 @@ def test_bootstrap_draws_every_slot(spark):
     assert (m.n == 24).all() and len(m) == 30
 
 
+def test_draws_of_one_small_file_are_counted_in_many_tasks(spark):
+    """No partial count holds every (draw, unit) in the one task that reads the units."""
+    ids = spark.range(0, 500, 1, 1).select(F.col("id").alias("idx"))
+    m = Rs.multiplicities(ids, "idx", F.lit(500), "s", 40, "m")
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.index("HashAggregate") < plan.index("REPARTITION_BY_NUM")
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert m.agg(F.sum("m")).first()[0] == 500 * 40
+
+
 def test_rating_scale_and_domain(spark):
     df = spark.createDataFrame([(1.0,), (5.0,), (9.0,)], "r double")
     assert [r[0] for r in df.select(S.rating_to_label(F.col("r"))).collect()] == [1.0, 128.0, 255.0]
