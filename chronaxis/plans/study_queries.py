@@ -258,25 +258,42 @@ def _(spark, sf):
     return s.select("fold", r6("r0"), r6("r3"), r6("r5"), win.alias("winner"))
 
 
+def inner_fold(r, outer):
+    """Inner fold of residue ``r`` (index modulo 15) beside an outer fold: its place among the training subjects, modulo 3."""
+    return (r - (r - outer + 4) // 5) % 3
+
+
 def nested_scores(spark, sf):
-    """Inner scores per outer fold; outer and inner folds are key columns of one job."""
+    """Inner scores per outer fold.
+
+    Outer and inner folds follow from a subject's index modulo 15, so the 15 training
+    sides are sets of residues, and a row meets its four curves in one line of a table.
+    """
     def build():
         tr = A.trace(spark, sf)
-        long = A.long_axes(tr, "subject", "video", "t")
-        idx = A.subject_index(tr)
-        o = idx.withColumn("outer", F.explode(Fo.other_folds(F.col("idx") % 5, 5)))
-        # position among the training subjects: own index minus the left-out ones before it
-        inner = (F.col("idx") - F.floor((F.col("idx") - F.col("outer") + 4) / 5)) % 3
-        o = o.select("subject", "outer", inner.alias("inr"))
-        rows = long.join(o, "subject")
-        train = rows.withColumn("inner", F.explode(Fo.other_folds(F.col("inr"), 3)))
-        key = ["outer", "inner", "video", "axis"]
-        curve = P.population_curve(train, key)
-        curve = D.framed(curve, key, "t", 5, 5, lambda d, w: d.withColumn("p3", F.avg("med").over(w.rowsBetween(-3, 3))).withColumn("p5", F.avg("med").over(w.rowsBetween(-5, 5))))
-        hit = P.clamp_lookup(rows.withColumnRenamed("inr", "inner"), curve.drop("n"), key)
-        err = lambda c: F.avg(F.abs(F.col("value") - F.col(c)))
-        t = hit.groupBy("outer", "subject", "video").agg(err("med").alias("r0"), err("p3").alias("r3"), err("p5").alias("r5"))
-        return t.groupBy(F.col("outer").alias("fold")).agg(*[F.round(F.avg(c), 9).alias(c) for c in ("r0", "r3", "r5")])
+        rows = tr.join(A.subject_index(tr).select("subject", (F.col("idx") % 15).alias("res")), "subject")
+        sides = [(o, i) for o in range(5) for i in range(3)]
+        sets = [[r for r in range(15) if r % 5 != o and inner_fold(r, o) != i] for o, i in sides]
+        curve = D.medians_of_sets(A.long_axes(rows, "video", "t", "res"), ["video", "axis", "t"], F.col("value"), "res", sets)
+        key = ["set", "video", "axis"]
+        curve = D.framed(curve.drop("rows"), key, "t", 5, 5, lambda d, w: d.withColumn("p3", F.avg("med").over(w.rowsBetween(-3, 3))).withColumn("p5", F.avg("med").over(w.rowsBetween(-5, 5))))
+        seconds = tr.select("video", "t").distinct().withColumn("axis", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("set", F.explode(F.array(*[F.lit(k) for k in range(15)])))
+        hit = P.clamp_lookup(seconds, curve, key)
+        # the sides a residue is judged by, in order of the outer fold
+        judged = F.create_map(*[x for r in range(15) for x in (F.lit(r), F.array(*[F.lit(sides.index((o, inner_fold(r, o)))) for o in range(5) if o != r % 5]))])
+        of = F.struct("med", "p3", "p5")
+        table = hit.groupBy("video", "t", "axis").agg(F.map_from_entries(F.collect_list(F.struct("set", of))).alias("m"))
+        table = table.groupBy("video", "t").agg(*[F.max_by("m", F.when(F.col("axis") == a, 1)).alias(f"m{a}") for a in (0, 1)])
+        table = table.select("video", "t", F.explode(F.array(*[F.lit(r) for r in range(15)])).alias("res"), "m0", "m1")
+        table = table.select("video", "t", F.col("res").cast("long").alias("res"), F.transform(judged[F.col("res")], lambda k: F.try_element_at("m0", k)).alias("c0"),
+                             F.transform(judged[F.col("res")], lambda k: F.try_element_at("m1", k)).alias("c1"))
+        met = rows.join(table, ["video", "t", "res"])
+        met = met.select("subject", "video", "res", F.explode(F.array(F.struct(F.col("valence").cast("double").alias("value"), F.col("c0").alias("c")), F.struct(F.col("arousal").cast("double").alias("value"), F.col("c1").alias("c")))).alias("s"))
+        names = {"r0": "med", "r3": "p3", "r5": "p5"}
+        t = met.groupBy("subject", "video", "res").agg(*[F.avg(F.abs(F.col("s.value") - F.col("s.c")[k][c])).alias(f"{n}_{k}") for k in range(4) for n, c in names.items()])
+        outer = F.element_at(Fo.other_folds(F.col("res") % 5, 5), F.col("k") + 1)
+        each = t.select("res", F.posexplode(F.array(*[F.struct(*[F.col(f"{n}_{k}").alias(n) for n in names]) for k in range(4)])).alias("k", "s")).select(outer.alias("fold"), "s.*")
+        return each.groupBy("fold").agg(*[F.round(F.avg(c), 9).alias(c) for c in names]).filter("r0 IS NOT NULL")
     return written(spark, "nested_scores", sf, build)
 
 

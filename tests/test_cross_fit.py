@@ -6,9 +6,11 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
+from chronaxis.operators import distributed as D
 from chronaxis.plans import extra_queries as E
-from chronaxis.plans import registry
+from chronaxis.plans import registry, study_queries  # noqa: F401  registers its queries
 from chronaxis.sources import adapters as A
 
 NAME = "ts13_cross_fitted_prior"
@@ -46,3 +48,25 @@ def test_cross_fitted_prior_equals_its_sql(spark, odd):
         assert set(rows) == set(want)
         assert {k for k, v in rows.items() if v is None} == {k for k, v in want.items() if v is None}
         assert all(v is None or abs(v - want[k]) < 2e-6 for k, v in rows.items())
+
+
+def test_nested_selection_equals_its_sql(spark, odd):
+    want = {r[0]: r[1:] for r in by_sql(odd, "cv5_nested_selection")}
+    got = {r[0]: tuple(r)[1:] for r in registry.QUERIES["cv5_nested_selection"](spark, odd).collect()}
+    assert set(got) == set(want)
+    for k, row in got.items():
+        assert row[:3] == pytest.approx(want[k][:3], abs=2e-6) and row[3] == want[k][3]
+
+
+@pytest.mark.parametrize("width", [1.0, 100.0])
+def test_medians_of_overlapping_sets(spark, width):
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame({"k": rng.choice(["a", "b", "c"], 300, p=[0.7, 0.28, 0.02]), "x": np.round(rng.normal(0, 3, 300), 1), "r": rng.integers(0, 6, 300)})
+    sets = [[0, 1, 2], [2, 3], [5], [0, 1, 2, 3, 4, 5]]
+    df = spark.createDataFrame(pdf).unionByName(spark.createDataFrame([("a", None, 5), ("n", None, 2), (None, 4.0, 0)], "k string, x double, r long"))
+    got = {(r["k"], r["set"]): (r["med"], r["rows"]) for r in D.medians_of_sets(df, ["k"], F.col("x"), "r", sets, width).collect()}
+    want = {("n", s): (None, 1) for s in (0, 1, 3)} | {(None, s): (4.0, 1) for s in (0, 3)}
+    for s, members in enumerate(sets):
+        for k, g in pdf[pdf.r.isin(members)].groupby("k"):
+            want[k, s] = (pytest.approx(g.x.median()), len(g) + (k == "a" and 5 in members))
+    assert got == want
