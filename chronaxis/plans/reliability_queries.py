@@ -180,7 +180,8 @@ def icc(pairs, a, b):
 SELECT {q6(CORR.format(x='a', y='b'))} AS pearson, {q6(CORR.format(x='ra', y='rb'))} AS spearman, {q6('avg(abs(a - b))')} AS mae, {q6('max(abs(a - b))')} AS maximum_shift FROM rk""")
 def _(spark, sf):
     h = halves(spark, sf)
-    rk = D.ranked(D.ranked(h, [], F.col("a"), [], 0.25, ordinal="", average="ra"), [], F.col("b"), [], 0.25, ordinal="", average="rb")
+    # a subject without items of one half has no mean there and ranks last, as in SQL
+    rk = D.ranked(D.ranked(h, [], F.col("a"), [], 0.25, ordinal="", average="ra", nulls_last=True), [], F.col("b"), [], 0.25, ordinal="", average="rb", nulls_last=True)
     return rk.agg(r6(S.correlation("a", "b"), "pearson"), r6(S.correlation("ra", "rb"), "spearman"),
                   r6(F.avg(F.abs(F.col("a") - F.col("b"))), "mae"), r6(F.max(F.abs(F.col("a") - F.col("b"))), "maximum_shift"))
 
