@@ -166,7 +166,8 @@ def top_k(vectors: DataFrame, query_filter, key: str = "vec_id", vector: str = "
         q = q.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
         c = packed.select("chunk", "list", F.col("ids").alias("c_ids"), F.col("extra").alias("c_extra"), F.col("mat").alias("c_mat"), "width")
         c = c.withColumn("qchunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        return c.join(q, ["qchunk", "chunk", "list"])
+        # Sizes measured before the copies are made would have the driver broadcast all of them.
+        return c.join(q.hint("merge"), ["qchunk", "chunk", "list"])
 
     # Phase 1: best entries of every list, exact scores, cutoff.
     depth = 4 * k

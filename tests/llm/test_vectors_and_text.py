@@ -169,3 +169,13 @@ def test_topk_keeps_large_negative_scores_and_refuses_overflow(spark):
     assert sorted((r["rank"], r["id"], r["score"]) for r in got) == [(1, 2, 1_024_000_000 * 5120), (2, 1, -1_024_000_000**2)]
     with pytest.raises(ArithmeticError):
         topk.top_k(spark.createDataFrame([(0, [1e8]), (1, [1e30])], shape), F.col("id") % 100 == 0)
+
+
+def test_copied_query_blocks_are_not_broadcast(spark):
+    """A query block is copied to every chunk of rows; the copies do not pass through the driver."""
+    rows = spark.createDataFrame([(i, [float(i % 7) / 8, float(i % 11) / 8]) for i in range(400)], "vec_id long, embedding array<double>")
+    found = topk.top_k(rows, F.col("id") % 10 == 0, chunk_rows=20, query_rows=10)
+    assert found.count() == 400
+    lines = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    joins = [line for line in lines if "Join" in line and "qchunk" in line and "chunk" in line and "list" in line]
+    assert joins and all("strategy=merge" in line for line in joins)
