@@ -398,3 +398,20 @@ def test_rates_equal_plain_nonnegative_least_squares(spark):
         assert squares(np.array([got.rates[c] for c in index])) == pytest.approx(squares(rate), rel=1e-3, abs=1e-9)
         assert [got.reached[d] for d in mixing.DOMAINS] == pytest.approx(list((parts * n * rate).sum(axis=1) / n.sum()), abs=1e-4)
         assert got.gap < 1e-6
+
+
+def test_chat_replies_come_from_the_masked_stream(spark):
+    """A reply is what the stream holds between loss_start and loss_end, not the turn that the example was made from."""
+    said = [("user", "hi <|im_end|>\n & co"), ("assistant", "aé<|im_end|>\n\U0001f600"), ("assistant", ""), ("user", ""), ("assistant", "last")]
+    rows = [(c, i, r, t) for c in (1, None) for i, (r, t) in enumerate(said)]
+    streams = chat.conversation_streams(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    examples = chat.prefix_examples(streams)
+    stream = {r["conv_id"]: r["stream"] for r in streams.collect()}
+    spans = {}
+    for r in examples.orderBy("example").collect():
+        spans.setdefault(r["conv_id"], []).append((r["loss_start"], r["loss_end"], r["reply"]))
+    got = {r["conv_id"]: r["replies"] for r in chat.masked_replies(streams, examples.drop("reply")).collect()}
+    assert got == {c: [stream[c][a:z] for a, z, _ in s] for c, s in spans.items()} == {c: [t for _, _, t in s] for c, s in spans.items()}
+    moved = examples.drop("reply").withColumn("loss_start", F.col("loss_start") - 1)
+    got = {r["conv_id"]: r["replies"] for r in chat.masked_replies(streams, moved).collect()}
+    assert got == {c: [stream[c][a - 1:z] for a, z, _ in s] for c, s in spans.items()}
